@@ -292,7 +292,8 @@ def micro(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def grouped_vectors(vectors: DataFrame, dim: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, bool]:
     """((comp, key, vector) of groups up to GROUP_ROWS, (comp, rows, key, vector) of larger ones, whether there are larger ones)."""
-    comp = durable(connected_components(hamming_links(vectors, dim, similarity, recall)))
+    links = durable(hamming_links(vectors, dim, similarity, recall))  # read twice by the first contraction
+    comp = durable(connected_components(links))
     large = durable(comp.groupBy("comp").count().where(F.col("count") > GROUP_ROWS))
     hot = not large.isEmpty()
     placed = vectors.toDF("node", "vector").join(comp, "node").select("comp", F.col("node").alias("key"), "vector")
