@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.plans import core_queries
+
 
 def flagship(spark, sf_dir):
     from quern.session import table
@@ -10,8 +12,8 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {}
+    return {**core_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**core_queries.SQL}
