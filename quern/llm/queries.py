@@ -42,13 +42,95 @@ def p6_neighbours(spark, sf):
     return nearest_of(rows.where(F.col("chunk_key") % 100 == 0), rows, k=5).select(F.col("key").alias("chunk_key"), F.col("neighbour").alias("neighbour_key"), F.col("rank").cast("bigint").alias("rank"), F.round(F.col("micro") / 1e6, 6).alias("similarity"))
 
 
+def _records(spark, sf):
+    dev = table(spark, sf, "stsb_dev").withColumn("split", F.lit("dev"))
+    return dev.unionByName(table(spark, sf, "stsb_test").withColumn("split", F.lit("test")))
+
+
+def _cross(spark, sf):
+    from quern.llm.overlap import cross_split_pairs
+
+    cols = ["pair_id", "sentence1", "sentence2"]
+    return cross_split_pairs(table(spark, sf, "stsb_train").select(*cols), _records(spark, sf).select(*cols))
+
+
+def p2_found(spark, sf):
+    pairs = _cross(spark, sf)
+    return pairs.select(F.least("train_id", "eval_id").alias("pair_id_a"), F.greatest("train_id", "eval_id").alias("pair_id_b")).distinct()
+
+
+def p2_overlaps(spark, sf):
+    from quern.llm.overlap import overlap_report
+
+    return overlap_report(_cross(spark, sf), _records(spark, sf))
+
+
+def p3_found(spark, sf):
+    from quern.llm.splitting import found_hard
+
+    return found_hard(table(spark, sf, "encoded_chunk_aligned"), "doc_id", "original_text").withColumnRenamed("doc", "doc_id")
+
+
+def p3_pieces(spark, sf):
+    from quern.llm.splitting import split_texts
+
+    return split_texts(table(spark, sf, "encoded_chunk_aligned"), "doc_id", "original_text").withColumnRenamed("doc", "doc_id")
+
+
+def p4_subset(spark, sf):
+    from quern.llm.kcenter import varied_subset
+
+    return varied_subset(_chunks(spark, sf), 0.01).select(F.col("key").alias("chunk_key"), "gap")
+
+
+def p7_containers(spark, sf):
+    from quern.llm.packing import pack_texts
+
+    return pack_texts(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _leaks(spark, sf):
+    from quern.llm.leakage import leaked_items
+
+    return leaked_items(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_passages").select("item_id", "passage"))
+
+
+def p8_found(spark, sf):
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark, sf):
+    return _leaks(spark, sf)
+
+
+def _scores(spark, sf):
+    from quern.llm.toxic import score_documents
+
+    return score_documents(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "doc_labels").select("doc_id", "toxic"))
+
+
+def p9_found(spark, sf):
+    return _scores(spark, sf).where("score >= 0.5").select("doc_id").distinct()
+
+
+def p9_scores(spark, sf):
+    return _scores(spark, sf)
+
+
+def p9_rates(spark, sf):
+    from quern.llm.toxic import rates
+
+    return rates(_scores(spark, sf), table(spark, sf, "documents").select("doc_id", "source"))
+
+
 _UNIT = """chunk AS (SELECT chunk_key, list_transform(vector, lambda x: x::DOUBLE) AS v FROM encoded_chunk WHERE len(vector) = 128),
 valid AS (SELECT chunk_key, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM chunk
   WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p6_found, p6_neighbours)}
+    every = (p1_found, p1_clusters, p2_found, p2_overlaps, p3_found, p3_pieces, p4_subset, p6_found, p6_neighbours, p7_containers, p8_found, p8_spans, p9_found, p9_scores, p9_rates)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

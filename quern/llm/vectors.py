@@ -279,7 +279,7 @@ def best(qa: np.ndarray, ka: np.ndarray, kb: np.ndarray, k: int) -> tuple[np.nda
     score = qa * (len(kb) + 1) - rank[None, :]
     score[ka[:, None] == kb[None, :]] = np.iinfo(np.int64).min
     kk = min(k, score.shape[1])
-    cols = np.argpartition(-score, kk - 1, axis=1)[:, :kk]
+    cols = np.argpartition(score, score.shape[1] - kk, axis=1)[:, score.shape[1] - kk :]
     rows = np.repeat(np.arange(len(ka)), kk)
     cols = cols.ravel()
     ok = score[rows, cols] > np.iinfo(np.int64).min
@@ -382,7 +382,7 @@ def similar_neighbours(vectors: DataFrame, k: int = 5, similarity: float = 0.75,
 def _block_scan(queries, dim: int, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qk, qu = queries.value
-        top_s = np.full((len(qk), k), np.iinfo(np.int64).min)
+        top_s = np.full((len(qk), k), -MICRO - 1)
         top_k = np.full((len(qk), k), np.iinfo(np.int64).max)
         for batch in it:
             _, keys, v = valid_block(batch, dim)
@@ -394,7 +394,7 @@ def _block_scan(queries, dim: int, k: int):
             for s in range(0, len(qk), 512):
                 q = micro(qu[s : s + 512], u)
                 r, c = best(q, qk[s : s + 512], keys, k)
-                cs = np.full((len(q), k), np.iinfo(np.int64).min)
+                cs = np.full((len(q), k), -MICRO - 1)
                 ck = np.full((len(q), k), np.iinfo(np.int64).max)
                 slot = np.concatenate([np.arange(n) for n in np.bincount(r, minlength=len(q))]) if len(r) else np.empty(0, int)
                 cs[r, slot], ck[r, slot] = q[r, c], keys[c]
