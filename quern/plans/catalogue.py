@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from quern.plans import core_queries
+from quern.plans import core_queries, text_queries
+
+_MODULES = (core_queries, text_queries)
 
 
 def flagship(spark, sf_dir):
-    from quern.session import table
+    from quern.plans.text_queries import chunk_and_encode
 
-    return table(spark, sf_dir, "documents").select("doc_id")
+    return chunk_and_encode(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {**core_queries.QUERIES}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core_queries.SQL}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
