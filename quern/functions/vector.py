@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: an expression that a lambda refers to would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -35,8 +40,7 @@ def scale_by(v: Column, k: Column) -> Column:
 
 
 def l2_normalise(v: Column, floor: float = 1e-12) -> Column:
-    n = F.greatest(norm(v), F.lit(floor))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return let(v, lambda u: let(F.greatest(norm(u), F.lit(floor)), lambda n: F.transform(u, lambda x: x.cast("double") / n)))
 
 
 def is_unit(v: Column, tolerance: float = 0.01) -> Column:
@@ -63,7 +67,7 @@ def mean_pool(rows: Column, mask: Column, dim: int) -> Column:
     size = F.greatest(total(m), F.lit(1e-9))
     zero = F.array_repeat(F.lit(0.0), dim)
     sums = F.aggregate(F.zip_with(rows, m, lambda r, w: F.transform(r, lambda x: x.cast("double") * w)), zero, lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
-    return F.transform(sums, lambda x: x / size)
+    return let(F.struct(sums.alias("sums"), size.alias("size")), lambda s: F.transform(s["sums"], lambda x: x / s["size"]))
 
 
 def first_pool(rows: Column) -> Column:
@@ -89,14 +93,13 @@ def _rounded(v: Column, scale: Column, top: int) -> Column:
 
 def quantise_int8(v: Column) -> Column:
     """struct(scale, q): symmetric per row, half to even."""
-    s = _scale(v, 127.0)
-    return F.struct(s.alias("scale"), _rounded(v, s, 127).alias("q"))
+    return let(_scale(v, 127.0), lambda s: F.struct(s.alias("scale"), _rounded(v, s, 127).alias("q")))
 
 
 def quantise_int4(v: Column, dim: int, group: int = 32) -> Column:
     """array of struct(scale, q) per group of 32."""
     groups = F.transform(F.sequence(F.lit(0), F.lit(dim // group - 1)), lambda g: F.slice(v, g * group + 1, F.lit(group)))
-    return F.transform(groups, lambda x: F.struct(_scale(x, 7.0).alias("scale"), _rounded(x, _scale(x, 7.0), 7).alias("q")))
+    return F.transform(groups, lambda x: let(_scale(x, 7.0), lambda s: F.struct(s.alias("scale"), _rounded(x, s, 7).alias("q"))))
 
 
 def pack_nibbles(q: Column, size: int) -> Column:
@@ -109,22 +112,20 @@ def dequantise_u8(q: Column, scale: float, zero: int) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(doubles(v))
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    e = let(F.array_max(doubles(v)), lambda top: F.transform(v, lambda x: F.exp(x.cast("double") - top)))
+    return let(e, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def layer_norm(v: Column, epsilon: float = 1e-12) -> Column:
-    n = F.size(v).cast("double")
-    mean = total(doubles(v)) / n
-    var = total(F.transform(v, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean))) / n
-    return F.transform(v, lambda x: (x.cast("double") - mean) / F.sqrt(var + F.lit(epsilon)))
+    def scaled(c: Column) -> Column:
+        return let(F.sqrt(dot(c, c) / F.size(c).cast("double") + F.lit(epsilon)), lambda s: F.transform(c, lambda x: x / s))
+
+    centred = let(doubles(v), lambda u: let(total(u) / F.size(u).cast("double"), lambda m: F.transform(u, lambda x: x - m)))
+    return let(centred, scaled)
 
 
 def rms_norm(v: Column, epsilon: float = 1e-6) -> Column:
-    ms = dot(v, v) / F.size(v).cast("double")
-    return F.transform(v, lambda x: x.cast("double") / F.sqrt(ms + F.lit(epsilon)))
+    return let(F.sqrt(dot(v, v) / F.size(v).cast("double") + F.lit(epsilon)), lambda s: F.transform(v, lambda x: x.cast("double") / s))
 
 
 def gelu_tanh(x: Column) -> Column:
@@ -138,8 +139,8 @@ def geglu(gate: Column, up: Column) -> Column:
 
 def whiten(v: Column, mean: Column, matrix: Column) -> Column:
     """normalise(W (v - mean)) with W an array of rows; for small dimensions, larger ones go through operators.whiten.apply."""
-    z = F.zip_with(v, mean, lambda x, m: x.cast("double") - m)
-    return l2_normalise(F.transform(matrix, lambda row: dot(row, z)))
+    centred = F.zip_with(v, mean, lambda x, m: x.cast("double") - m)
+    return l2_normalise(let(centred, lambda z: F.transform(matrix, lambda row: dot(row, z))))
 
 
 def max_abs_difference(a: Column, b: Column) -> Column:

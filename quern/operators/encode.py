@@ -62,8 +62,8 @@ class HashEncoder:
         """The same without Python: interpreted folds, for short texts."""
         place = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % self.dim
         signed = F.transform(self.words(text), lambda w: F.when(F.conv(F.substring(F.md5(w), 9, 1), 16, 10).cast("int") % 2 == 1, -place(w) - 1).otherwise(place(w) + 1))
-        count = F.transform(F.sequence(F.lit(1), F.lit(self.dim)), lambda b: (F.size(F.filter(signed, lambda x: x == b)) - F.size(F.filter(signed, lambda x: x == -b))).cast("double"))
-        return V.l2_normalise(count)
+        count = lambda s: F.transform(F.sequence(F.lit(1), F.lit(self.dim)), lambda b: (F.size(F.filter(s, lambda x: x == b)) - F.size(F.filter(s, lambda x: x == -b))).cast("double"))
+        return V.l2_normalise(V.let(signed, count))
 
 
 class FakeEncoder:
