@@ -13,11 +13,16 @@ from quern.operators.search import _normal, matrix, query_blocks
 from quern.session import local_broadcast
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Null where a column does not vary (the built-in raises in ANSI mode)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def pearson(df: DataFrame, a: str, b: str, out: str = "pearson") -> DataFrame:
     """One row: NaN without rows, 0 where a column does not vary. One pass of moments, combined map-side."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     ok = df.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    r = ok.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    r = ok.agg(F.count("*").alias("n"), correlation(x, y).alias("r"))
     return r.select(F.when(F.col("n") == 0, F.lit(float("nan"))).otherwise(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias(out))
 
 
@@ -39,7 +44,7 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str, out: str = "spearman") -> DataFrame:
     """Pearson of average ranks over rows where both are present; NaN below two rows, 0 without variation."""
     ok = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    r = average_ranks(average_ranks(ok, "x", "rx"), "y", "ry").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r"))
+    r = average_ranks(average_ranks(ok, "x", "rx"), "y", "ry").agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("r"))
     return r.select(F.when(F.col("n") < 2, F.lit(float("nan"))).otherwise(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias(out))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.vector import let
+
 #: Stands between fields while they are taken apart; a record that holds it itself is a bad value anyway.
 _SEP = "\x01"
 _CONTROL = "[\\x00-\\x08\\x0B-\\x1F\\uFFFD]"
@@ -21,22 +23,26 @@ def _parts(record: Column) -> Column:
 
 def well_quoted(parts: Column) -> Column:
     """Quotes come in pairs, open at the start of a field and close at its end; a doubled quote leaves an empty even part."""
-    n = F.size(parts)
 
-    def ok(p: Column, i: Column) -> Column:
-        first, last = i == 0, i == n - 1
-        opens = F.when(last, True).otherwise((p == "") | p.endswith(","))
-        closes = F.when(first, True).otherwise((p == "") | p.startswith(","))
-        return (i % 2 == 1) | (opens & closes)
+    def judge(ps: Column, n: Column) -> Column:
+        def ok(p: Column, i: Column) -> Column:
+            first, last = i == 0, i == n - 1
+            opens = last | (p == "") | p.endswith(",")
+            closes = first | (p == "") | p.startswith(",")
+            return (i % 2 == 1) | (opens & closes)
+
+        return (n % 2 == 1) & F.forall(F.transform(ps, ok), lambda x: x)
 
-    return (n % 2 == 1) & F.forall(F.transform(parts, lambda p, i: ok(p, i)), lambda x: x)
+    return let(parts, lambda ps: let(F.size(ps), lambda n: judge(ps, n)))
 
 
 def fields(parts: Column) -> Column:
     """The fields of a well-quoted record, quotes taken off and doubled quotes made one."""
-    n = F.size(parts)
-    marked = F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.translate(p, ",", _SEP)))
-    return F.split(F.array_join(marked, ""), _SEP, -1)
+
+    def marked(ps: Column, n: Column) -> Column:
+        return F.transform(ps, lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.translate(p, ",", _SEP)))
+
+    return F.split(F.array_join(let(parts, lambda ps: let(F.size(ps), lambda n: marked(ps, n))), ""), _SEP, -1)
 
 
 def field_count(parts: Column) -> Column:

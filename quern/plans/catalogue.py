@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import core_queries, text_queries, vector_queries
+from quern.plans import core_queries, text_queries, token_queries, vector_queries
 
-_MODULES = (core_queries, text_queries, vector_queries)
+_MODULES = (core_queries, text_queries, token_queries, vector_queries)
 
 
 def flagship(spark, sf_dir):
