@@ -27,8 +27,9 @@ LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвնոցԛԝαορνι
 LEET = str.maketrans("01345@$7", "oieasast")
 SPACES = 1 << 16
 PLACES = (0, -1, 1, -2, 2)
-#: Labelled documents that are fitted on at most.
-TRAIN_DOCS = 4_000
+#: Documents that are fitted on at most; where fewer are labelled, unlabelled ones fill up as clean ones of little weight.
+TRAIN_DOCS = 2_500
+UNLABELLED = 0.07
 
 _MARK = "\\u0300-\\u036f\\u00ad\\u200b-\\u200f\\u2060"
 _CJK = "\\u3040-\\u30ff\\u3400-\\u9fff"
@@ -169,7 +170,7 @@ class Adam:
         w -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.98**self.t)) + 1e-8)
 
 
-def sentence_labels(b: Batch, flat: np.ndarray, owner: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 4, steps: int = 25) -> np.ndarray:
+def sentence_labels(b: Batch, flat: np.ndarray, owner: np.ndarray, doc: np.ndarray, toxic: np.ndarray, trust: np.ndarray, rounds: int = 4, steps: int = 25) -> np.ndarray:
     """Sentence labels (1, 0, or -1 for unsure) from document labels, by a sentence model that is refitted on its own sure decisions."""
     types = len(np.bincount(owner)) if len(owner) else 0
     n = len(b.sizes)
@@ -184,7 +185,7 @@ def sentence_labels(b: Batch, flat: np.ndarray, owner: np.ndarray, doc: np.ndarr
             bag = np.bincount(owner, w[flat], types)
             s = np.bincount(b.sent, bag[b.tokens], n) / root
             p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            g = weight * (p - y) / root
+            g = weight * trust[doc] * (p - y) / root
             gt = np.bincount(b.tokens, g[b.sent], types)
             opt.step(w, np.bincount(flat, gt[owner], SPACES) / max(1, n) + 1e-5 * w)
         # in a toxic document the likeliest sentence is toxic, and every other that the model is sure of
@@ -197,8 +198,8 @@ def sentence_labels(b: Batch, flat: np.ndarray, owner: np.ndarray, doc: np.ndarr
     return np.where(weight == 0, -1, y).astype(int)
 
 
-def fit(texts: list[str], toxic: list[bool], steps: int = 40) -> dict:
-    """Weights of the field; an empty dict if either class is missing."""
+def fit(texts: list[str], toxic: list[bool], trust: list[float] | None = None, steps: int = 40) -> dict:
+    """Weights of the field; an empty dict if either class is missing. trust weighs each document's label."""
     if not any(toxic) or all(toxic):
         return {}
     lex = Lexicon()
@@ -212,8 +213,10 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40) -> dict:
     b = Batch(sents)
     flat, owner = lex.arrays()
     types = len(lex.sizes)
-    label = sentence_labels(b, flat, owner, np.array(doc), np.array(toxic, bool))
+    faith = np.array(trust if trust is not None else [1.0] * len(texts))
+    label = sentence_labels(b, flat, owner, np.array(doc), np.array(toxic, bool), faith)
     keep = [s for s, y in zip(sents, label) if y >= 0]
+    faith = faith[np.array(doc)[label >= 0]]
     label = label[label >= 0]
     b = Batch(keep)
     y = label[b.sent]
@@ -223,7 +226,7 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40) -> dict:
     near, bag, trans = np.zeros((len(PLACES), SPACES)), np.zeros(SPACES), np.zeros((2, 2))
     opt = Adam(near.size + bag.size + 4, 0.08)
     pos = max(1, label.sum())
-    balance = np.where(label > 0, min(5.0, (len(label) - pos) / pos), 1.0)[b.sent]  # toxic sentences are few
+    balance = (np.where(label > 0, min(5.0, (len(label) - pos) / pos), 1.0) * faith)[b.sent]  # toxic sentences are few
     pairs = [b.neighbours(s) for s in PLACES]
     root = np.sqrt(np.maximum(b.sizes, 1))
     w = np.zeros(near.size + bag.size + 4)
@@ -305,15 +308,20 @@ def spans(text: str, hits: dict[int, np.ndarray]) -> list[tuple[int, int]]:
 
 def fit_on(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
     """Fits on the labelled documents: (doc_id, text) and (doc_id, toxic). A document's label is its labels' majority; ties and nulls do
-    not count. At most `most` documents are used, chosen by the hash of their id."""
+    not count. At most about `most` documents are used, chosen by the hash of their id; if the labelled ones are fewer, unlabelled ones
+    join them as clean, at the weight UNLABELLED, so that common words are known as such."""
     votes = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
     n = votes.count()
-    if n > most:  # a hash threshold, so that what reaches the driver is bounded without a sort
-        votes = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = documents.where("text is not null and text <> ''").join(votes, "doc_id").select("text", (F.col("toxic") > 0.5).alias("toxic"), "doc_id").limit(2 * most).toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_pylist()
-    return fit([texts[i] for i in order], [toxic[i] for i in order])
+    chosen = lambda df, share: df if share >= 1 else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    texts = documents.where("text is not null and text <> ''")
+    rows = texts.join(chosen(votes, most / max(1, n)), "doc_id").select("text", (F.col("toxic") > 0.5).alias("toxic"), "doc_id", F.lit(1.0).alias("trust"))
+    if n < most:  # the share is of all rows, so that what reaches the driver is bounded without a sort
+        some = chosen(texts, (most - n) / max(1, documents.count())).join(votes, "doc_id", "left_anti")
+        rows = rows.unionByName(some.select("text", F.lit(False).alias("toxic"), "doc_id", F.lit(UNLABELLED).alias("trust")))
+    t = rows.limit(2 * most).toArrow()
+    order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
+    texts_, toxic, trust = t["text"].to_pylist(), t["toxic"].to_pylist(), t["trust"].to_pylist()
+    return fit([texts_[i] for i in order], [toxic[i] for i in order], [trust[i] for i in order])
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
