@@ -195,6 +195,7 @@ def sentence_labels(b: Batch, flat: np.ndarray, owner: np.ndarray, doc: np.ndarr
         y = (toxic[doc] & sure).astype(float)
         weight = np.where(toxic[doc] & ~sure & (p > 0.2), 0.0, 1.0)
         weight[~toxic[doc] & (p > 0.9)] = 0.1  # probably a mistaken label
+        weight[(trust[doc] < 1) & (p > 0.8)] = 0.0  # unlabelled, and perhaps toxic
     return np.where(weight == 0, -1, y).astype(int)
 
 

@@ -194,12 +194,11 @@ def test_toxic_spans_and_scores(spark):
     hidden = ["Fine day. You are a fi*thy mug­wump! Bye.", "YOU ARE A FILTHY d u n d e r f o o l", "all of you bl4thersk1te should rooooot", "", None]
     assert (tagger.score(hidden)[0] >= 0.5).tolist() == [True, True, True, False, False]
     docs = spark.createDataFrame([(i, t, "s") for i, t, _ in train] + [(900, hidden[0], None), (901, None, "S "), (902, "", "s"), (900, hidden[0], None)], "doc_id bigint, text string, source string")
-    labels = spark.createDataFrame([(i, y) for i, _, y in train] + [(1, None), (None, 1), (7, 1), (7, 0)], "doc_id bigint, toxic int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in train] + [(900, 1), (1, None), (None, 1), (7, 1), (7, 0)], "doc_id bigint, toxic int")
     rows = X.score_documents(docs, labels).collect()
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == 244 and got[901]["score"] == 0 and got[902]["offences"] == []
-    s = got[900]["offences"][0]
-    assert "mug­wump" in hidden[0][s["start"] : s["stop"]]
+    assert any("mug\u00adwump" in hidden[0][s["start"] : s["stop"]] for s in got[900]["offences"])
     rate = X.rates(X.score_documents(docs, labels), docs.select("doc_id", "source").distinct()).collect()
     assert {r["source"] for r in rate} == {"s", None}
     assert X.score_documents(docs, labels.where("toxic = 0")).agg(F.max("score")).first()[0] == 0
