@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.search import _normal, matrix, query_blocks
-from quern.session import local_broadcast
+from quern.session import durable, local_broadcast
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -31,8 +31,6 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     task sees all rows. Nulls get no row; equal values cost one row of the ranking."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
     parts = counts.select(column, "__n").repartitionByRange(column).withColumn("__p", F.spark_partition_id())
-    from quern.session import durable
-
     parts = durable(parts)
     sizes = parts.groupBy("__p").agg(F.sum("__n").alias("__s"))  # one row a partition
     before = sizes.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
@@ -44,6 +42,7 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str, out: str = "spearman") -> DataFrame:
     """Pearson of average ranks over rows where both are present; NaN below two rows, 0 without variation."""
     ok = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    ok = durable(ok)  # read once for each ranking and for each join back
     r = average_ranks(average_ranks(ok, "x", "rx"), "y", "ry").agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("r"))
     return r.select(F.when(F.col("n") < 2, F.lit(float("nan"))).otherwise(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias(out))
 
