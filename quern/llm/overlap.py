@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -24,6 +25,8 @@ from quern.session import durable, local_broadcast
 
 CELLS = 1 << 20
 EDITS = 2
+#: Records whose vectors a worker keeps at hand.
+MEMORY = 1 << 15
 #: Term under which records meet that are so short that no shared term is sure.
 SHORT = -1
 
@@ -133,15 +136,22 @@ def _postings(sent):
 def _compare(sent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, _ = sent.value
+
+        @lru_cache(MEMORY)  # a record meets many candidates
+        def vector(x: str, y: str) -> tuple[np.ndarray, float]:
+            t = record_terms(x.split(), y.split())
+            return t, float((weigh(t, idf) ** 2).sum())
+
         for b in it:
             ok = []
             for ax, ay, bx, by, least in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
-                ax, ay, bx, by = ax.split(), ay.split(), bx.split(), by.split()
-                ta, tb = record_terms(ax, ay), record_terms(bx, by)
-                wa, wb, shared = weigh(ta, idf), weigh(tb, idf), weigh(np.intersect1d(ta, tb), idf)
-                product = float((shared**2).sum()) / np.sqrt(float((wa**2).sum()) * float((wb**2).sum()))
-                same = product >= least - 1e-9 and (max(distance(ax, bx), distance(ay, by)) <= EDITS or max(distance(ax, by), distance(ay, bx)) <= EDITS)
-                ok.append(same)
+                (ta, ma), (tb, mb) = vector(ax, ay), vector(bx, by)
+                shared = weigh(np.intersect1d(ta, tb, assume_unique=True), idf)
+                same = float((shared * shared).sum()) >= (least - 1e-9) * np.sqrt(ma * mb)
+                if same:
+                    ax, ay, bx, by = ax.split(), ay.split(), bx.split(), by.split()
+                    same = max(distance(ax, bx), distance(ay, by)) <= EDITS or max(distance(ax, by), distance(ay, bx)) <= EDITS
+                ok.append(bool(same))
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["ca", "cb"])
 
