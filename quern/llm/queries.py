@@ -123,9 +123,22 @@ def p9_rates(spark, sf):
     return rates(_scores(spark, sf), table(spark, sf, "documents").select("doc_id", "source"))
 
 
-_UNIT = """chunk AS (SELECT chunk_key, list_transform(vector, lambda x: x::DOUBLE) AS v FROM encoded_chunk WHERE len(vector) = 128),
-valid AS (SELECT chunk_key, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM chunk
-  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)"""
+_VALID = """valid AS (SELECT chunk_key, list_transform(vector, lambda x: x::DOUBLE) AS v FROM encoded_chunk
+  WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
+_SIMILAR = f"""{_VALID}, s AS (SELECT a.chunk_key AS k, b.chunk_key AS o, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM valid a JOIN valid b ON a.chunk_key <> b.chunk_key), near AS (SELECT * FROM s WHERE c >= 0.75)"""
+
+SQL = {
+    # every set of similar chunks is closed here, so a chunk's set is itself and all that are similar to it
+    "p1_found": f"WITH {_SIMILAR} SELECT k AS chunk_key, least(k, min(o)) AS cluster_key FROM near GROUP BY k HAVING count(*) >= 4",
+    "p3_found": """WITH t AS (SELECT doc_id, arg_max(original_text, length(original_text)) AS t FROM encoded_chunk_aligned WHERE original_text IS NOT NULL GROUP BY doc_id HAVING max(length(original_text)) > 1200),
+p AS (SELECT doc_id, regexp_extract_all(t, '[^\s\p{Z}.!?。！？]+|[\s\p{Z}.!?。！？]+') AS p FROM t), u AS (SELECT doc_id, unnest(p) AS x, unnest(range(0, len(p))) AS i FROM p),
+w AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS off FROM u), h AS (SELECT doc_id, off FROM w WHERE length(x) > 1200 AND NOT regexp_matches(x, '^[\s\p{Z}.!?。！？]'))
+SELECT t.doc_id, coalesce(h.off, -1)::BIGINT AS hard_start FROM t LEFT JOIN h USING (doc_id)""",
+    "p6_found": f"""WITH {_SIMILAR}, top AS (SELECT k, o FROM near QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, o) <= 5)
+SELECT DISTINCT least(k, o) AS chunk_key_a, greatest(k, o) AS chunk_key_b FROM top""",
+    "p6_neighbours": f"""WITH {_VALID}, s AS (SELECT a.chunk_key, b.chunk_key AS neighbour_key, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM valid a JOIN valid b ON a.chunk_key <> b.chunk_key WHERE a.chunk_key % 100 = 0)
+SELECT chunk_key, neighbour_key, row_number() OVER (PARTITION BY chunk_key ORDER BY similarity DESC, neighbour_key) AS rank, similarity FROM s QUALIFY rank <= 5""",
+}
 
 
 def queries() -> dict:
@@ -134,4 +147,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
