@@ -130,7 +130,7 @@ _SIMILAR = f"""{_VALID}, s AS (SELECT a.chunk_key AS k, b.chunk_key AS o, round(
 SQL = {
     # every set of similar chunks is closed here, so a chunk's set is itself and all that are similar to it
     "p1_found": f"WITH {_SIMILAR} SELECT k AS chunk_key, least(k, min(o)) AS cluster_key FROM near GROUP BY k HAVING count(*) >= 4",
-    "p3_found": """WITH t AS (SELECT doc_id, arg_max(original_text, length(original_text)) AS t FROM encoded_chunk_aligned WHERE original_text IS NOT NULL GROUP BY doc_id HAVING max(length(original_text)) > 1200),
+    "p3_found": r"""WITH t AS (SELECT doc_id, arg_max(original_text, length(original_text)) AS t FROM encoded_chunk_aligned WHERE original_text IS NOT NULL GROUP BY doc_id HAVING max(length(original_text)) > 1200),
 p AS (SELECT doc_id, regexp_extract_all(t, '[^\s\p{Z}.!?。！？]+|[\s\p{Z}.!?。！？]+') AS p FROM t), u AS (SELECT doc_id, unnest(p) AS x, unnest(range(0, len(p))) AS i FROM p),
 w AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS off FROM u), h AS (SELECT doc_id, off FROM w WHERE length(x) > 1200 AND NOT regexp_matches(x, '^[\s\p{Z}.!?。！？]'))
 SELECT t.doc_id, coalesce(h.off, -1)::BIGINT AS hard_start FROM t LEFT JOIN h USING (doc_id)""",
