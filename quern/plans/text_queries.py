@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import chunk as C
 from quern.operators import encode as E
-from quern.session import table
+from quern.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 _S = r"\s\p{Sc}\p{So}(){}\[\]\-–—~''\"”“`‘´’‚„»«「」『』（）〔〕【】《》〈〉…:;!?.,¿¡<>_#*&"

@@ -46,3 +46,10 @@ def local_broadcast(spark: SparkSession, value, limit_bytes: int, size_bytes: in
     if size_bytes > limit_bytes:
         raise ValueError(f"{size_bytes} bytes exceed the broadcast bound of {limit_bytes}")
     return spark.sparkContext.broadcast(value)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than the cluster has cores, over all cores; any larger input stays as it is. For steps that
+    are heavy a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
