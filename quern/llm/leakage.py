@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import WORD, clean, fold, mapped, words
-from quern.session import local_broadcast
+from quern.session import local_broadcast, spread
 
 WINDOW, EDITS, SEED = 16, 2, 5
 #: Passages of one automaton; more of them are scanned for in blocks.
@@ -125,6 +125,6 @@ def leaked_items(documents: DataFrame, passages: DataFrame, block: int = BLOCK)
         rows = pas.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).distinct().toArrow().to_pylist()
         items = [(r["item_id"], words(r["text"])) for r in rows]
         sent = local_broadcast(spark, items, 256 << 20, sum(len(x["text"]) for x in rows) * 4)
-        part = docs.mapInArrow(_scan(sent), "doc_id bigint, item_id bigint, matched_words int, start_pos int, end_pos int")
+        part = spread(docs).mapInArrow(_scan(sent), "doc_id bigint, item_id bigint, matched_words int, start_pos int, end_pos int")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import local_broadcast
+from quern.session import local_broadcast, spread
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters inside words.
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвնոցԛԝαορνικτυ", "aeopcyxijsdhkmtbnngqwaopviktu")
@@ -352,7 +352,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, most: int = TRAIN_D
                 marks = [[{"start": x, "stop": y} for x, y in spans(texts[d], by[d])] if d in by else [] for d in range(len(texts))]
                 yield pa.record_batch([b.column(0), pa.array(np.round(score, 6)), pa.array(marks, struct)], names=["doc_id", "score", "offences"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, score double, offences array<struct<start:int,stop:int>>")
+    return spread(docs).mapInArrow(run, f"doc_id {kind}, score double, offences array<struct<start:int,stop:int>>")
 
 
 def rates(scored: DataFrame, sources: DataFrame, threshold: float = 0.5) -> DataFrame:
