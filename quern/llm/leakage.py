@@ -1,8 +1,8 @@
 """Evaluation passages inside documents: one Aho-Corasick automaton over the normalised passages, each text scanned once.
 
 The automaton holds every run of SEED consecutive words of every passage. A stretch of WINDOW words with at most EDITS edits keeps an
-unbroken run of at least (WINDOW - EDITS) / (EDITS + 1) words, so with SEED = 5 for 16 words and 2 edits no stretch escapes. A seed is
-then extended to both sides with the edits left, on whole words, and mapped back to the original text.
+unbroken run of at least (WINDOW - EDITS) / (EDITS + 1) words, so with SEED = 5 for 16 words and 2 edits no stretch escapes. A seed of
+every unbroken run is then extended to both sides with the edits left, on whole words, and mapped back to the original text.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def _scan(sent):
                     continue
                 line = " " + " ".join(d) + " "
                 found: dict[int, tuple[int, int, int]] = {}
-                starts, tried = None, set()
+                starts, tried = None, {}
                 for end, (length, at) in auto.iter(line):
                     if starts is None:
                         starts, pos = [], 0
@@ -87,12 +87,16 @@ def _scan(sent):
                             pos += len(w) + 1
                     j = bisect_left(starts, end - length + 1)
                     for n, i in at:
-                        if (n, j - i) in tried:
+                        p = items[n][1]
+                        if j + SEED <= tried.get((n, j - i), 0):  # the same unbroken run gives the same stretch
                             continue
-                        got = widest(items[n][1], d, i, j)
+                        got = widest(p, d, i, j)
                         if got[0] > found.get(n, (0,))[0]:
                             found[n] = got
-                        tried.add((n, j - i))
+                        x, y = i + SEED, j + SEED
+                        while x < len(p) and y < len(d) and p[x] == d[y]:
+                            x, y = x + 1, y + 1
+                        tried[n, j - i] = y
                 hits = {n: x for n, x in found.items() if x[0] >= WINDOW}
                 if hits:
                     folded, where = mapped(t)

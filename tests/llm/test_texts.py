@@ -1,7 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,6 +144,26 @@ def test_leaks(spark):
     assert L.leaked_items(df.limit(0), ps).count() == 0 and L.leaked_items(df, ps.limit(0)).count() == 0
 
 
+def test_leaks_behind_an_early_cluster_of_edits(spark):
+    p = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(40)]
+    swap = lambda at, n=40: " ".join(f"zq{chr(97 + i)}" if i in at else w for i, w in enumerate(p[:n]))
+    docs = spark.createDataFrame([(1, swap((7, 9, 11))), (2, swap((5, 7, 13, 23, 24, 25)))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["matched_words"] for r in L.leaked_items(docs, spark.createDataFrame([(5, " ".join(p))], "item_id bigint, text string")).collect()}
+    # 1: after the third edit the copy goes on; 2: the second run lies inside what the first one reaches (words 0 to 12)
+    assert got == {1: 32, 2: 17}
+
+
+def test_every_seed_counts():
+    rng = random.Random(8)
+    for _ in range(60):
+        p = [rng.choice("abcdefgh") + rng.choice("xy") for _ in range(45)]
+        d = edit(rng, p, rng.randrange(3, 12))
+        seeds = [(i, j) for i in range(len(p) - L.SEED + 1) for j in range(len(d) - L.SEED + 1) if p[i : i + L.SEED] == d[j : j + L.SEED]]
+        want = max((L.widest(p, d, i, j)[0] for i, j in seeds), default=0)
+        got = [r for b in L._scan(SimpleNamespace(value=[(1, p)]))(iter([pa.record_batch([pa.array([7], pa.int64()), pa.array([" ".join(d)])], names=["doc_id", "text"])])) for r in b.to_pylist()]
+        assert [r["matched_words"] for r in got] == ([want] if want >= L.WINDOW else [])
+
+
 def test_packing(spark):
     rng = random.Random(2)
     docs = [(i, text(rng, rng.choice([1, 5, 40, 90, 150, 900]))) for i in range(300)] + [(1000 + i, "the same copy " * 20) for i in range(150)] + [(2000, None), (2001, ""), (2002, "word " * 3000)]
