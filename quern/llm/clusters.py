@@ -19,6 +19,8 @@ from quern.session import durable
 
 #: Partners of a cluster in the sparse graph.
 PARTNERS = 6
+#: Dissimilar pairs of a cluster up to this number are worked off inside one task.
+MISS_PAIRS = 4_000_000
 
 
 def reciprocal_rounds(sums: np.ndarray, sizes: np.ndarray, lab: np.ndarray, a: np.ndarray, b: np.ndarray, floor: float) -> None:
@@ -84,16 +86,37 @@ def link_average(sums: np.ndarray, sizes: np.ndarray, floor: float, k: int = PAR
 
 def peel(u: np.ndarray, floor: int) -> np.ndarray:
     """Rows left after members that are not similar to all others are taken out, the least similar first."""
-    live = np.arange(len(u))
-    while len(live) > 1:
-        bad = np.concatenate([(V.micro(u[live[s : s + 1024]], u[live]) < floor).sum(1) for s in range(0, len(live), 1024)])
-        if not bad.any():
-            break
-        live = np.delete(live, np.argmax(bad))
-    return live
-
-
-def _link_groups(dim: int, similarity: float):
+    miss = np.concatenate([V.micro(u[s : s + 1024], u) < floor for s in range(0, len(u), 1024)]) if len(u) else np.zeros((0, 0), bool)
+    bad, live = miss.sum(1), np.ones(len(u), bool)
+    while live.any() and bad.max() > 0:
+        worst = np.argmax(bad)
+        live[worst] = False
+        bad -= miss[:, worst]
+        bad[worst] = 0
+        miss[worst] = False
+    return np.flatnonzero(live)
+
+
+def peel_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys that peel() takes out, given the pairs of keys that are not similar."""
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    end, other = at, np.concatenate([at[len(a) :], at[: len(a)]])
+    order = np.argsort(end, kind="stable")
+    other = other[order]
+    bad = np.bincount(end, minlength=len(keys))
+    start = np.concatenate([[0], np.cumsum(bad)])
+    out = []
+    while len(keys) and bad.max() > 0:
+        worst = int(np.argmax(bad))
+        out.append(worst)
+        near = other[start[worst] : start[worst + 1]]
+        bad[near] -= 1
+        bad[worst] = np.iinfo(bad.dtype).min // 2
+    return keys[out]
+
+
+def _link_groups(dim: int, similarity: float, linked: bool = False):
+    """Clusters of the groups `comp` without their misfits; with `linked`, each group is one cluster already."""
     floor = round(similarity * V.MICRO)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +127,7 @@ def _link_groups(dim: int, similarity: float):
                 u = V.unit(v)
                 out = []
                 for lo, hi in V.spans(comp) if len(comp) else []:
-                    lab = link_average(u[lo:hi], np.ones(hi - lo), similarity)
+                    lab = np.zeros(hi - lo, np.int64) if linked else link_average(u[lo:hi], np.ones(hi - lo), similarity)
                     order = np.argsort(lab, kind="stable")
                     for s, e in V.spans(lab[order]):
                         m = order[s:e] + lo
@@ -151,29 +174,59 @@ def _unit_rows(dim: int):
     return run
 
 
-def _misfits(dim: int, floor: int):
-    """Rows of a chunk pair that have a partner below the floor."""
+def _misses(dim: int, floor: int):
+    """Pairs (comp, a, b) of keys of a chunk pair that are below the floor, each once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in V.runs(it, "group"):
-            for b in t.combine_chunks().select(["key", "vector", "group", "i", "j", "c"]).to_batches():
+            for b in t.combine_chunks().select(["key", "vector", "group", "i", "j", "c", "comp"]).to_batches():
                 rows, keys, v = V.valid_block(b, dim)
-                group, i, j, c = (b.column(x).to_numpy(zero_copy_only=False)[rows] for x in (2, 3, 4, 5))
+                group, i, j, c, comp = (b.column(x).to_numpy(zero_copy_only=False)[rows] for x in (2, 3, 4, 5, 6))
                 u = V.unit(v)
                 for lo, hi in V.spans(group) if len(group) else []:
                     left, right = np.flatnonzero(c[lo:hi] == i[lo:hi]) + lo, np.flatnonzero(c[lo:hi] == j[lo:hi]) + lo
                     for s in range(0, len(left), 512):
                         x, y = np.nonzero(V.micro(u[left[s : s + 512]], u[right]) < floor)
-                        bad = np.unique(np.concatenate([keys[left[s : s + 512][x]], keys[right[y]]]))
-                        yield pa.record_batch([pa.array(bad, pa.int64())], names=["key"])
+                        x, y = keys[left[s : s + 512][x]], keys[right[y]]
+                        once = x < y if i[lo] == j[lo] else np.ones(len(x), bool)
+                        yield pa.record_batch([pa.array(np.full(once.sum(), comp[lo]), pa.int64()), pa.array(x[once], pa.int64()), pa.array(y[once], pa.int64())], names=["comp", "a", "b"])
 
     return run
 
 
+def _peel_comps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in V.runs(it, "comp"):
+        comp, a, b = (t.column(x).to_numpy() for x in ("comp", "a", "b"))
+        for lo, hi in V.spans(comp):
+            yield pa.record_batch([pa.array(peel_pairs(a[lo:hi], b[lo:hi]), pa.int64())], names=["key"])
+
+
+def misfits(misses: DataFrame) -> DataFrame:
+    """(key): members that peel() takes out of their clusters, given the dissimilar pairs (comp, a, b).
+
+    A member with more misses than each of its partners (of equals, the smaller key) is taken out before any of them, whatever
+    else is, so all such members leave at once; a cluster with at most MISS_PAIRS pairs left is finished in one task."""
+    out = None
+    misses = durable(misses)
+    while not misses.isEmpty():
+        count = misses.groupBy("comp").agg(F.count("*").alias("pairs"))
+        sized = misses.join(count, "comp")
+        few = sized.where(F.col("pairs") <= MISS_PAIRS).select("comp", "a", "b")
+        gone = few.repartition("comp").sortWithinPartitions("comp").mapInArrow(_peel_comps, "key bigint")
+        many = durable(sized.where(F.col("pairs") > MISS_PAIRS).select("comp", "a", "b"))
+        ends = many.select(F.col("a").alias("key"), F.col("b").alias("other")).union(many.select("b", "a"))
+        bad = durable(ends.groupBy("key").agg(F.count("*").alias("bad")))
+        worst = ends.join(bad.toDF("other", "theirs"), "other").groupBy("key").agg(F.max(F.struct("theirs", (-F.col("other")).alias("k"))).alias("m")).join(bad, "key")
+        worst = durable(worst.where(F.struct("bad", (-F.col("key")).alias("k")) > F.col("m")).select("key"))
+        gone = durable(gone.union(worst))
+        out = gone if out is None else out.union(gone)
+        misses = durable(many.join(worst.toDF("a"), "a", "left_anti").join(worst.toDF("b"), "b", "left_anti").select("comp", "a", "b"))
+    return misses.select(F.col("a").alias("key")) if out is None else out
+
+
 def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
     """Groups beyond one task: chunks of GROUP_ROWS are linked by themselves, their clusters are linked again as (sum, size), in
-    new chunks, until a level merges nothing. Members that miss another member of their cluster leave it."""
-    spark = large.sparkSession
+    new chunks, until a level merges nothing. Members that miss others leave their cluster as in smaller groups, the worst first."""
     nodes = durable(large.select("key", "vector", "comp").mapInArrow(_unit_rows(dim), "node bigint, total array<double>, comp bigint").withColumn("n", F.lit(1).cast("bigint")))
     member = nodes.select("node", F.col("node").alias("cluster"))
     level, before = 0, nodes.count()
@@ -189,16 +242,18 @@ def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
         before = after
     size = member.groupBy("cluster").count()
     rows = durable(member.join(size, "cluster").join(large.select(F.col("key").alias("node"), "vector"), "node").select(F.col("cluster").alias("comp"), F.col("count").alias("n"), F.col("node").alias("key"), "vector"))
-    pairs = V.chunk_pairs(rows.where("n > 1")).withColumn("group", F.xxhash64("comp", "i", "j"))
-    bad = pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_misfits(dim, round(similarity * V.MICRO)), "key bigint").distinct()
-    kept = rows.join(bad, "key", "left_anti").select("key", F.col("comp").alias("at"))
-    named = kept.groupBy("at").agg(F.min("key").alias("cluster"), F.count("*").alias("size"))
-    mean = nodes.select(F.col("node").alias("at"), "total")
-    dot = F.aggregate(F.zip_with(F.transform("vector", lambda x: x.cast("double")), "total", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda x, y: x + y.cast("double") * y.cast("double")))
-    joined = kept.join(named, "at").join(mean, "at").join(rows.select("key", "vector"), "key")
-    del spark
-    return joined.select("key", "cluster", "size", F.round(dot / (norm("vector") * norm("total")), 6).alias("typicality"))
+    schema = "key bigint, cluster bigint, size bigint, typicality double"
+    out = rows.where(F.col("n") <= V.GROUP_ROWS).repartition("comp").sortWithinPartitions("comp", "key").mapInArrow(_link_groups(dim, similarity, linked=True), schema)
+    wide = rows.where(F.col("n") > V.GROUP_ROWS)
+    if wide.isEmpty():
+        return out
+    pairs = V.chunk_pairs(wide).withColumn("group", F.xxhash64("comp", "i", "j"))
+    bad = misfits(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_misses(dim, round(similarity * V.MICRO)), "comp bigint, a bigint, b bigint"))
+    kept = durable(wide.join(bad, "key", "left_anti").select("key", "vector", "comp").mapInArrow(_unit_rows(dim), "node bigint, total array<double>, comp bigint"))
+    named = kept.groupBy("comp").agg(F.min("node").alias("cluster"), F.count("*").alias("size"), F.array(*[F.sum(F.col("total")[i]) for i in range(dim)]).alias("mean"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    typical = F.round(dot(F.col("total"), F.col("mean")) / F.sqrt(dot(F.col("mean"), F.col("mean"))), 6)
+    return out.unionByName(kept.join(named, "comp").select(F.col("node").alias("key"), "cluster", "size", typical.alias("typicality")))
 
 
 def similarity_clusters(vectors: DataFrame, similarity: float = 0.75, least: int = 5, dim: int = 128, recall: float = 0.95) -> DataFrame:

@@ -134,3 +134,48 @@ def test_varied_subset(spark):
     u = V.unit(np.array([vec[r["key"]] for r in got], float))
     assert ((u @ u.T) > 0.75).sum() == 65  # neither the near group nor the copies are there twice
     assert K.varied_subset(df.limit(3), 0.01).count() == 1
+
+
+def plain_peel(u, floor):
+    live = np.arange(len(u))
+    while (bad := (V.micro(u[live], u[live]) < floor).sum(1)).any():
+        live = np.delete(live, np.argmax(bad))
+    return live.tolist()
+
+
+def test_peel_by_vectors_and_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    pairs, want = [], set()
+    for comp in range(4):
+        u = V.unit(rng.normal(size=(50, 6)) + 3 * rng.normal(size=6))
+        left = plain_peel(u, 750_000)
+        assert C.peel(u, 750_000).tolist() == left
+        a, b = np.nonzero(np.triu(V.micro(u, u) < 750_000))
+        assert set(C.peel_pairs(a, b).tolist()) == set(range(50)) - set(left)
+        pairs += [(comp, 100 * comp + int(x), 100 * comp + int(y)) for x, y in zip(a, b)]
+        want |= {100 * comp + x for x in set(range(50)) - set(left)}
+    df = spark.createDataFrame(pairs, "comp bigint, a bigint, b bigint")
+    for bound in (10, 4_000_000):
+        monkeypatch.setattr(C, "MISS_PAIRS", bound)
+        assert {r["key"] for r in C.misfits(df).collect()} == want
+
+
+@pytest.mark.parametrize("group", [10, 40])
+def test_a_stray_row_does_not_take_a_large_cluster_along(spark, monkeypatch, group):
+    """30 rows similar to each other and one that is similar to them on the average only."""
+    x = np.zeros((31, 128))
+    x[:, 0] = 1
+    x[:10, 1], x[10:20, 1], x[20:30, 1] = -0.2, 0.1, 0.2
+    x[np.arange(30), np.arange(30) + 5] = 0.05
+    x[30, 1] = 0.7
+    x = V.unit(x)
+    q = V.micro(x, x)
+    assert (q[:30, :30] >= 750_000).all() and 5 < (q[30, :30] < 750_000).sum() < 20 and q[30, :30].mean() > 750_000
+    df = spark.createDataFrame([(i + 1, [float(v) for v in r]) for i, r in enumerate(x)] + [(k + 1000, v) for k, v in noisy(0, 0, singles=400, seed=4)], SCHEMA)
+    monkeypatch.setattr(V, "GROUP_ROWS", group)
+    small = V.chunk_pairs
+    monkeypatch.setattr(V, "chunk_pairs", lambda large: small(large, 16))
+    got = C.similarity_clusters(df).collect()
+    assert {(r["key"], r["cluster"], r["size"]) for r in got} == {(i, 1, 30) for i in range(1, 31)}
+    mean = x[:30].sum(0)
+    assert all(abs(r["typicality"] - x[r["key"] - 1] @ mean / np.linalg.norm(mean)) < 2e-6 for r in got)
