@@ -130,8 +130,18 @@ def segment_ids(tokens: Column) -> Column:
 
 
 def untokenize(tokens: Column) -> Column:
-    """Words again: a ## piece joins what is before it."""
-    return F.aggregate(tokens, F.array().cast("array<string>"), lambda a, t: F.when(t.startswith("##") & (F.size(a) > 0), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.substring(t, 3, F.length(t)))))).otherwise(F.array_append(a, t)))
+    """Words again: a ## piece joins what is before it. Linear in the tokens: cut where a word begins, then join each word's pieces."""
+
+    def words(t: Column, begins: Column) -> Column:
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(t) + 1))
+        rest = lambda s, e: F.array_join(F.transform(F.slice(t, s + 1, e - s - 1), lambda x: F.substring(x, 3, F.length(x))), "")
+        return F.zip_with(begins, ends, lambda s, e: F.concat(F.element_at(t, s), rest(s, e)))
+
+    def whole(t: Column) -> Column:
+        begins = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | ~F.coalesce(x.startswith("##"), F.lit(False)), i + 1)), lambda i: i.isNotNull())
+        return F.when(F.size(t) > 0, let(begins, lambda b: words(t, b))).otherwise(t)
+
+    return let(tokens, whole)
 
 
 def keep_last(ids: Column, most: int, last: int, keep: bool = True) -> Column:

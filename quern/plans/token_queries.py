@@ -50,7 +50,7 @@ def wordpiece_encode(spark, sf):
 @query()
 def wordpiece_untokenize(spark, sf):
     t = docs(spark, sf).select("doc_id", piece().tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.array_join(K.untokenize(F.slice("t", 1, 256)), " ").alias("text"))
+    return t.select("doc_id", F.array_join(K.untokenize(F.col("t")), " ").alias("text"))
 
 
 @query()

@@ -89,3 +89,14 @@ def test_segments_and_cut(spark):
     assert ids.select(K.keep_last(F.col("i"), 3, 1)).first()[0] == [5, 6, 1]
     assert ids.select(K.keep_last(F.col("i"), 3, 1, False)).first()[0] == [5, 6, 7]
     assert np.all(ids.select(K.keep_last(F.col("i"), 9, 1)).first()[0] == [5, 6, 7, 8])
+
+
+def test_untokenize_takes_the_whole_text(spark, monkeypatch):
+    from quern.plans import token_queries as Q
+
+    lists = [["##a", "##b", "c"], [], None, ["a"], ["a", "##b", "##c", "d", "##", "e"], ["x", "##y"] * 5000]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, t array<string>")
+    got = {r["id"]: r["w"] for r in df.select("id", K.untokenize(F.col("t")).alias("w")).collect()}
+    assert got == {0: ["##ab", "c"], 1: [], 2: None, 3: ["a"], 4: ["abc", "d", "e"], 5: ["xy"] * 5000}
+    monkeypatch.setattr(Q, "docs", lambda s, sf: s.createDataFrame([(1, "the end " * 400)], "doc_id bigint, text string"))
+    assert len(Q.wordpiece_untokenize(spark, None).first()["text"].split(" ")) == 800
