@@ -224,12 +224,25 @@ def misfits(misses: DataFrame) -> DataFrame:
     return misses.select(F.col("a").alias("key")) if out is None else out
 
 
+def _mates(nodes: DataFrame, dim: int, floor: int) -> DataFrame:
+    """(node, chunk): mutual best pairs of (node, total, comp, n), all nodes of a component that exceeds one chunk being compared."""
+    wide = nodes.join(nodes.groupBy("comp").agg(F.count("*").alias("rows")), "comp").where(F.col("rows") > V.GROUP_ROWS)
+    mean = wide.withColumn("vector", F.transform("total", lambda x: x / F.col("n"))).select("comp", F.col("rows").alias("n"), F.col("node").alias("key"), "vector")
+    pairs = V.chunk_pairs(mean).withColumn("group", F.xxhash64("comp", "i", "j"))
+    ranked = pairs.repartition("group").sortWithinPartitions("group").mapInArrow(V._rank_chunks(dim, 1, floor, normal=False), "key bigint, neighbour bigint, micro bigint")
+    ends = ranked.select("key", "neighbour", "micro").union(ranked.select("neighbour", "key", "micro"))
+    best = durable(ends.groupBy("key").agg(F.max(F.struct("micro", (-F.col("neighbour")).alias("k"))).alias("m")).select("key", (-F.col("m.k")).alias("other")))
+    both = best.join(best.toDF("other", "key"), ["key", "other"])
+    return durable(both.select(F.col("key").alias("node"), F.least("key", "other").alias("chunk")))
+
+
 def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
     """Groups beyond one task: chunks of GROUP_ROWS are linked by themselves, their clusters are linked again as (sum, size), in
-    new chunks, until a level merges nothing. Members that miss others leave their cluster as in smaller groups, the worst first."""
+    new chunks. Where a level merges nothing, all pairs are compared and mutual best ones merged, until no pair of a whole group
+    reaches the threshold. Members that miss others leave their cluster as in smaller groups, the worst first."""
     nodes = durable(large.select("key", "vector", "comp").mapInArrow(_unit_rows(dim), "node bigint, total array<double>, comp bigint").withColumn("n", F.lit(1).cast("bigint")))
     member = nodes.select("node", F.col("node").alias("cluster"))
-    level, before = 0, nodes.count()
+    level, before, floor = 0, nodes.count(), round(similarity * V.MICRO)
     while True:
         per = nodes.groupBy("comp").count()
         placed = nodes.join(per, "comp").withColumn("chunk", F.xxhash64("comp", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("count") / V.GROUP_ROWS))))
@@ -237,8 +250,16 @@ def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
         member = durable(member.withColumnRenamed("cluster", "at").join(linked.select(F.col("node").alias("at"), F.col("cluster").alias("to")), "at").select("node", F.col("to").alias("cluster")))
         nodes = linked.where("n > 0").select("node", "total", "comp", "n")
         after, level = nodes.count(), level + 1
-        if after == before or level > 30:
-            break
+        if after == before:  # nothing met by chance: only a comparison of all pairs tells whether the work is done
+            mates = _mates(nodes, dim, floor)
+            if mates.isEmpty():
+                break
+            linked = durable(nodes.join(mates, "node").repartition("chunk").sortWithinPartitions("chunk", "node").mapInArrow(_link_chunks(dim, similarity), "node bigint, cluster bigint, comp bigint, total array<double>, n bigint"))
+            member = durable(member.withColumnRenamed("cluster", "at").join(linked.select(F.col("node").alias("at"), F.col("cluster").alias("to")), "at", "left").select("node", F.coalesce("to", "at").alias("cluster")))
+            nodes = durable(linked.where("n > 0").select("node", "total", "comp", "n").unionByName(nodes.join(mates, "node", "left_anti").select("node", "total", "comp", "n")))
+            after = nodes.count()
+            if after == before:  # a similarity on the last rounded digit of the threshold
+                break
         before = after
     size = member.groupBy("cluster").count()
     rows = durable(member.join(size, "cluster").join(large.select(F.col("key").alias("node"), "vector"), "node").select(F.col("cluster").alias("comp"), F.col("count").alias("n"), F.col("node").alias("key"), "vector"))

@@ -331,14 +331,14 @@ def chunk_pairs(large: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     return own.select("comp", "c", "key", "vector", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x")).select("comp", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "key", "vector")
 
 
-def _rank_chunks(dim: int, k: int, floor: int):
+def _rank_chunks(dim: int, k: int, floor: int, normal: bool = True):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(it, "group"):
             t = t.combine_chunks()
             for b in t.select(["key", "vector", "group", "i", "j", "c"]).to_batches():
                 rows, keys, v = valid_block(b, dim)
                 group, i, j, c = (b.column(x).to_numpy(zero_copy_only=False)[rows] for x in (2, 3, 4, 5))
-                u = unit(v)
+                u = unit(v) if normal else v
                 for lo, hi in spans(group) if len(group) else []:
                     sides = [(c[lo:hi] == i[lo:hi], c[lo:hi] == j[lo:hi])]
                     if i[lo] != j[lo]:

@@ -179,3 +179,12 @@ def test_a_stray_row_does_not_take_a_large_cluster_along(spark, monkeypatch, gro
     assert {(r["key"], r["cluster"], r["size"]) for r in got} == {(i, 1, 30) for i in range(1, 31)}
     mean = x[:30].sum(0)
     assert all(abs(r["typicality"] - x[r["key"] - 1] @ mean / np.linalg.norm(mean)) < 2e-6 for r in got)
+
+
+def test_large_groups_are_linked_to_the_end(spark, monkeypatch):
+    """Many small clusters in one linked group: their parts seldom meet by chance."""
+    monkeypatch.setattr(V, "GROUP_ROWS", 2)
+    rows = [(5 * g + i + 1, [1.0 if d == g else 0.01 * i if d == 100 else 0.0 for d in range(128)], 1, 60) for g in range(12) for i in range(5)]
+    df = spark.createDataFrame(rows, "key bigint, vector array<float>, comp bigint, n bigint")
+    got = {(r["key"], r["cluster"], r["size"]) for r in C._link_large(df, 128, 0.75).collect()}
+    assert got == {(5 * g + i + 1, 5 * g + 1, 5) for g in range(12) for i in range(5)}
