@@ -28,6 +28,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_round(df: DataFrame) -> DataFrame:
+    """durable() for the rounds of an iteration. A checkpoint keeps its plan's size estimate, joins multiply estimates, and after some
+    rounds their digits take longer than the work; here the rows go on without an estimate."""
+    df, spark = durable(df), df.sparkSession
+    plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
+    return DataFrame(plain, spark)
+
+
 def reachable(spark: SparkSession) -> None:
     """Lets Python workers import this package where it is not installed: its folder joins the workers' path."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
