@@ -8,6 +8,7 @@ mutual best pairs at once, and the graph is rebuilt until no pair of clusters re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import vectors as V
-from quern.session import durable
+from quern.llm.graph import connected_components
+from quern.session import durable_round
 
 #: Partners of a cluster in the sparse graph.
 PARTNERS = 6
@@ -23,10 +25,15 @@ PARTNERS = 6
 MISS_PAIRS = 4_000_000
 
 
+def similarity_of(sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Average similarities of clusters, to nine places, so that ties do not hang on the order of additions."""
+    return np.rint(np.einsum("ij,ij->i", sa, sb) / (na * nb) * 1e9) / 1e9
+
+
 def reciprocal_rounds(sums: np.ndarray, sizes: np.ndarray, lab: np.ndarray, a: np.ndarray, b: np.ndarray, floor: float) -> None:
     """Merges mutual best pairs of the sparse graph (a, b) until none is left; sums, sizes and lab change in place."""
     while len(a):
-        s = np.einsum("ij,ij->i", sums[a], sums[b]) / (sizes[a] * sizes[b])
+        s = similarity_of(sums[a], sizes[a], sums[b], sizes[b])
         ok = s >= floor
         a, b, s = a[ok], b[ok], s[ok]
         if not len(a):
@@ -84,6 +91,16 @@ def link_average(sums: np.ndarray, sizes: np.ndarray, floor: float, k: int = PAR
             return lab
 
 
+def link_rows(u: np.ndarray, v: np.ndarray, floor: float) -> np.ndarray:
+    """link_average of rows in the order of their keys: equal vectors are one cluster from the start."""
+    _, first, same = np.unique(np.ascontiguousarray(v + 0.0).view(f"V{v.itemsize * v.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    first = first[same.ravel()]
+    live = np.unique(first)
+    size = np.bincount(first, minlength=len(u))[live]
+    lab = link_average(u[live] * size[:, None], size, floor)
+    return live[lab][np.searchsorted(live, first)]
+
+
 def peel(u: np.ndarray, floor: int) -> np.ndarray:
     """Rows left after members that are not similar to all others are taken out, the least similar first."""
     miss = np.concatenate([V.micro(u[s : s + 1024], u) < floor for s in range(0, len(u), 1024)]) if len(u) else np.zeros((0, 0), bool)
@@ -127,7 +144,7 @@ def _link_groups(dim: int, similarity: float, linked: bool = False):
                 u = V.unit(v)
                 out = []
                 for lo, hi in V.spans(comp) if len(comp) else []:
-                    lab = np.zeros(hi - lo, np.int64) if linked else link_average(u[lo:hi], np.ones(hi - lo), similarity)
+                    lab = np.zeros(hi - lo, np.int64) if linked else link_rows(u[lo:hi], v[lo:hi], similarity)
                     order = np.argsort(lab, kind="stable")
                     for s, e in V.spans(lab[order]):
                         m = order[s:e] + lo
@@ -142,34 +159,46 @@ def _link_groups(dim: int, similarity: float, linked: bool = False):
     return run
 
 
-def _link_chunks(dim: int, similarity: float):
-    """Nodes (comp, chunk, node, total, n) of one chunk -> (node, cluster, comp, total, n); the cluster's first row holds its sum."""
+def _finish_groups(dim: int, similarity: float):
+    """Nodes (comp, node, total, n) of groups that fit one task -> (node, cluster)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in V.runs(it, "chunk"):
+        for t in V.runs(it, "comp"):
             t = t.combine_chunks()
-            chunk, node, n, comp = (t.column(x).to_numpy() for x in ("chunk", "node", "n", "comp"))
-            sums = t.column("total").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(node), dim)
-            for lo, hi in V.spans(chunk):
+            comp, node, n = (t.column(x).to_numpy() for x in ("comp", "node", "n"))
+            sums = _matrix(t.column("total").combine_chunks(), dim)
+            for lo, hi in V.spans(comp):
                 lab = link_average(sums[lo:hi], n[lo:hi], similarity)
-                first = lab == np.arange(hi - lo)
-                total, size = np.zeros((hi - lo, dim)), np.zeros(hi - lo, np.int64)
-                np.add.at(total, lab, sums[lo:hi])
-                np.add.at(size, lab, n[lo:hi])
-                yield pa.record_batch(
-                    [pa.array(node[lo:hi], pa.int64()), pa.array(node[lo:hi][lab], pa.int64()), pa.array(comp[lo:hi], pa.int64()), pa.array([total[i] if f else None for i, f in enumerate(first)], pa.list_(pa.float64())), pa.array(np.where(first, size, 0), pa.int64())],
-                    names=["node", "cluster", "comp", "total", "n"],
-                )
+                yield pa.record_batch([pa.array(node[lo:hi], pa.int64()), pa.array(node[lo:hi][lab], pa.int64())], names=["node", "cluster"])
 
     return run
 
 
-def _unit_rows(dim: int):
+def _matrix(column, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _edge_scores(dim: int):
+    """(a, b, sa, na, sb, nb) -> (a, b, s): average similarities of the edges' ends."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in it:
+            s = similarity_of(_matrix(x.column(2), dim), x.column(3).to_numpy(), _matrix(x.column(4), dim), x.column(5).to_numpy())
+            yield pa.record_batch([x.column(0), x.column(1), pa.array(s)], names=["a", "b", "s"])
+
+    return run
+
+
+def _unit_rows(dim: int, weighed: bool = False):
+    """Unit vectors of (key, vector, comp); with `weighed`, times the number n of the fourth column, which goes on."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows, keys, v = V.valid_block(b, dim)
             if len(keys):
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(list(V.unit(v)), pa.list_(pa.float64())), b.column(2).take(pa.array(rows))], names=["node", "total", "comp"])
+                n = b.column(3).to_numpy()[rows] if weighed else np.ones(len(rows), np.int64)
+                cols = [pa.array(keys, pa.int64()), pa.array(list(V.unit(v) * n[:, None]), pa.list_(pa.float64())), b.column(2).take(pa.array(rows))]
+                yield pa.record_batch(cols + [pa.array(n)] * weighed, names=["node", "total", "comp", "n"][: 3 + weighed])
 
     return run
 
@@ -207,62 +236,112 @@ def misfits(misses: DataFrame) -> DataFrame:
     A member with more misses than each of its partners (of equals, the smaller key) is taken out before any of them, whatever
     else is, so all such members leave at once; a cluster with at most MISS_PAIRS pairs left is finished in one task."""
     out = None
-    misses = durable(misses)
+    misses = durable_round(misses)
     while not misses.isEmpty():
         count = misses.groupBy("comp").agg(F.count("*").alias("pairs"))
         sized = misses.join(count, "comp")
         few = sized.where(F.col("pairs") <= MISS_PAIRS).select("comp", "a", "b")
         gone = few.repartition("comp").sortWithinPartitions("comp").mapInArrow(_peel_comps, "key bigint")
-        many = durable(sized.where(F.col("pairs") > MISS_PAIRS).select("comp", "a", "b"))
+        many = durable_round(sized.where(F.col("pairs") > MISS_PAIRS).select("comp", "a", "b"))
         ends = many.select(F.col("a").alias("key"), F.col("b").alias("other")).union(many.select("b", "a"))
-        bad = durable(ends.groupBy("key").agg(F.count("*").alias("bad")))
+        bad = durable_round(ends.groupBy("key").agg(F.count("*").alias("bad")))
         worst = ends.join(bad.toDF("other", "theirs"), "other").groupBy("key").agg(F.max(F.struct("theirs", (-F.col("other")).alias("k"))).alias("m")).join(bad, "key")
-        worst = durable(worst.where(F.struct("bad", (-F.col("key")).alias("k")) > F.col("m")).select("key"))
-        gone = durable(gone.union(worst))
+        worst = durable_round(worst.where(F.struct("bad", (-F.col("key")).alias("k")) > F.col("m")).select("key"))
+        gone = durable_round(gone.union(worst))
         out = gone if out is None else out.union(gone)
-        misses = durable(many.join(worst.toDF("a"), "a", "left_anti").join(worst.toDF("b"), "b", "left_anti").select("comp", "a", "b"))
+        misses = durable_round(many.join(worst.toDF("a"), "a", "left_anti").join(worst.toDF("b"), "b", "left_anti").select("comp", "a", "b"))
     return misses.select(F.col("a").alias("key")) if out is None else out
 
 
-def _mates(nodes: DataFrame, dim: int, floor: int) -> DataFrame:
-    """(node, chunk): mutual best pairs of (node, total, comp, n), all nodes of a component that exceeds one chunk being compared."""
-    wide = nodes.join(nodes.groupBy("comp").agg(F.count("*").alias("rows")), "comp").where(F.col("rows") > V.GROUP_ROWS)
+def _graph(nodes: DataFrame, floor: int, dim: int, k: int = PARTNERS) -> DataFrame:
+    """(a, b, q): the k best partners of each node (node, total, comp, n) at an average similarity of at least floor, in micros."""
+    wide = nodes.join(nodes.groupBy("comp").agg(F.count("*").alias("rows")), "comp")
     mean = wide.withColumn("vector", F.transform("total", lambda x: x / F.col("n"))).select("comp", F.col("rows").alias("n"), F.col("node").alias("key"), "vector")
     pairs = V.chunk_pairs(mean).withColumn("group", F.xxhash64("comp", "i", "j"))
-    ranked = pairs.repartition("group").sortWithinPartitions("group").mapInArrow(V._rank_chunks(dim, 1, floor, normal=False), "key bigint, neighbour bigint, micro bigint")
-    ends = ranked.select("key", "neighbour", "micro").union(ranked.select("neighbour", "key", "micro"))
-    best = durable(ends.groupBy("key").agg(F.max(F.struct("micro", (-F.col("neighbour")).alias("k"))).alias("m")).select("key", (-F.col("m.k")).alias("other")))
-    both = best.join(best.toDF("other", "key"), ["key", "other"])
-    return durable(both.select(F.col("key").alias("node"), F.least("key", "other").alias("chunk")))
+    ranked = pairs.repartition("group").sortWithinPartitions("group", "key").mapInArrow(V._rank_chunks(dim, k, floor, normal=False), "key bigint, neighbour bigint, micro bigint")
+    w = Window.partitionBy("key").orderBy(F.desc("micro"), "neighbour")
+    top = ranked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return durable_round(top.select(F.least("key", "neighbour").alias("a"), F.greatest("key", "neighbour").alias("b"), F.col("micro").alias("q")).distinct())
+
+
+def _merge(nodes: DataFrame, to: DataFrame, dim: int) -> DataFrame:
+    """Nodes after the moves (node, to): sums and sizes of the nodes that meet are added; dim numbers a partial sum."""
+    moved = nodes.join(to, "node", "left").withColumn("node", F.coalesce("to", "node"))
+    met = to.select(F.col("to").alias("node")).distinct()
+    added = moved.join(met, "node").groupBy("comp", "node").agg(F.array(*[F.sum(F.col("total")[i]) for i in range(dim)]).alias("total"), F.sum("n").alias("n"))
+    return durable_round(moved.join(met, "node", "left_anti").select("comp", "node", "total", "n").unionByName(added))
+
+
+def _merge_pairs(nodes: DataFrame, to: DataFrame) -> DataFrame:
+    """_merge() where at most one node moves to each."""
+    gone = nodes.join(to, "node").select(F.col("to").alias("node"), F.col("total").alias("more"), F.col("n").alias("m"))
+    both = nodes.join(to, "node", "left_anti").join(gone, "node", "left")
+    total = F.when(F.col("m").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda x, y: x + y))
+    return durable_round(both.select("comp", "node", total.alias("total"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
+
+
+def _rewire(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """Edges (a, b, s) after the moves; the score of an edge with an end that moved or was met is forgotten."""
+    met = to.select("node", "to").union(to.select(F.col("to").alias("node"), "to")).distinct()
+    out = edges.join(met.toDF("a", "ta"), "a", "left").join(met.toDF("b", "tb"), "b", "left")
+    a, b = F.coalesce("ta", "a"), F.coalesce("tb", "b")
+    out = out.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(F.col("ta").isNull() & F.col("tb").isNull(), F.col("s")).alias("s"))
+    return out.where("a <> b").groupBy("a", "b").agg(F.max("s").alias("s"))
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame, similarity: float, dim: int) -> tuple[DataFrame, DataFrame]:
+    """reciprocal_rounds() on tables: each round all mutual best pairs of the edges (a, b, s) are merged at once. Returns the nodes
+    and the moves (node, to), always to the smaller node."""
+    moves = None
+    while True:
+        end = nodes.select("node", "total", "n")
+        fresh = edges.where("s is null").select("a", "b").join(end.toDF("a", "sa", "na"), "a").join(end.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb")
+        edges = durable_round(edges.where("s is not null").unionByName(fresh.mapInArrow(_edge_scores(dim), "a bigint, b bigint, s double")).where(F.col("s") >= similarity))
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "s").union(edges.select("b", "a", "s"))
+        best = ends.groupBy("node").agg(F.max(F.struct("s", (-F.col("other")).alias("k"))).alias("m")).select("node", (-F.col("m.k")).alias("mate"))
+        pairs = best.join(best.toDF("mate", "node"), ["node", "mate"]).where("node > mate")
+        to = durable_round(pairs.select("node", F.col("mate").alias("to")))
+        moves = to if moves is None else moves.union(to)
+        if to.isEmpty():
+            return nodes, moves
+        nodes, edges = _merge_pairs(nodes, to), durable_round(_rewire(edges, to))
 
 
 def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
-    """Groups beyond one task: chunks of GROUP_ROWS are linked by themselves, their clusters are linked again as (sum, size), in
-    new chunks. Where a level merges nothing, all pairs are compared and mutual best ones merged, until no pair of a whole group
-    reaches the threshold. Members that miss others leave their cluster as in smaller groups, the worst first."""
-    nodes = durable(large.select("key", "vector", "comp").mapInArrow(_unit_rows(dim), "node bigint, total array<double>, comp bigint").withColumn("n", F.lit(1).cast("bigint")))
-    member = nodes.select("node", F.col("node").alias("cluster"))
-    level, before, floor = 0, nodes.count(), round(similarity * V.MICRO)
+    """Groups beyond one task, by the steps of link_rows() on tables: copies are one node, the sparse graph comes from chunk pairs in
+    different tasks, rounds of mutual best pairs run on its edges, and the graph is made anew until no pair reaches the threshold. A
+    group whose nodes have become few enough is finished in one task, which takes the same steps. Members that miss others leave
+    their cluster as in smaller groups, the worst first."""
+    rows = durable_round(large.select("comp", "key", "vector"))
+    copies = rows.groupBy("comp", "vector").agg(F.min("key").alias("node"), F.count("*").alias("n"))
+    head = durable_round(copies)
+    member = durable_round(rows.join(head.select("comp", "vector", F.col("node").alias("cluster")), ["comp", "vector"]).select(F.col("key").alias("row"), "cluster"))
+    nodes = head.select(F.col("node").alias("key"), "vector", "comp", "n").mapInArrow(_unit_rows(dim, True), "node bigint, total array<double>, comp bigint, n bigint")
+    nodes, moves, floor = durable_round(nodes.select("comp", "node", "total", "n")), [], round(similarity * V.MICRO)
     while True:
-        per = nodes.groupBy("comp").count()
-        placed = nodes.join(per, "comp").withColumn("chunk", F.xxhash64("comp", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("count") / V.GROUP_ROWS))))
-        linked = durable(placed.repartition("chunk").sortWithinPartitions("chunk", "node").mapInArrow(_link_chunks(dim, similarity), "node bigint, cluster bigint, comp bigint, total array<double>, n bigint"))
-        member = durable(member.withColumnRenamed("cluster", "at").join(linked.select(F.col("node").alias("at"), F.col("cluster").alias("to")), "at").select("node", F.col("to").alias("cluster")))
-        nodes = linked.where("n > 0").select("node", "total", "comp", "n")
-        after, level = nodes.count(), level + 1
-        if after == before:  # nothing met by chance: only a comparison of all pairs tells whether the work is done
-            mates = _mates(nodes, dim, floor)
-            if mates.isEmpty():
-                break
-            linked = durable(nodes.join(mates, "node").repartition("chunk").sortWithinPartitions("chunk", "node").mapInArrow(_link_chunks(dim, similarity), "node bigint, cluster bigint, comp bigint, total array<double>, n bigint"))
-            member = durable(member.withColumnRenamed("cluster", "at").join(linked.select(F.col("node").alias("at"), F.col("cluster").alias("to")), "at", "left").select("node", F.coalesce("to", "at").alias("cluster")))
-            nodes = durable(linked.where("n > 0").select("node", "total", "comp", "n").unionByName(nodes.join(mates, "node", "left_anti").select("node", "total", "comp", "n")))
-            after = nodes.count()
-            if after == before:  # a similarity on the last rounded digit of the threshold
-                break
-        before = after
+        per = nodes.groupBy("comp").agg(F.count("*").alias("rows"))
+        few = nodes.join(per.where(F.col("rows") <= V.GROUP_ROWS), "comp").select("comp", "node", "total", "n")
+        moves.append(durable_round(few.repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(_finish_groups(dim, similarity), "node bigint, cluster bigint")))
+        nodes = durable_round(nodes.join(per.where(F.col("rows") > V.GROUP_ROWS).select("comp"), "comp").select("comp", "node", "total", "n"))
+        edges = _graph(nodes, floor, dim)
+        if edges.isEmpty():
+            break
+        before = durable_round(nodes.groupBy("comp").agg(F.count("*").alias("before")))
+        same = edges.where(F.col("q") >= V.MICRO).select("a", "b")
+        edges = edges.select("a", "b", F.lit(None).cast("double").alias("s"))
+        if not same.isEmpty():  # as good as copies: they merge in any order with the same result
+            to = durable_round(connected_components(same).where("node <> comp").select("node", F.col("comp").alias("to")))
+            moves.append(to)
+            nodes, edges = _merge(nodes, to, dim), durable_round(_rewire(edges, to))
+        nodes, to = _rounds(nodes, edges, similarity, dim)
+        moves.append(to)
+        still = nodes.groupBy("comp").agg(F.count("*").alias("after")).join(before, "comp").where("after = before").select("comp")
+        nodes = durable_round(nodes.join(still, "comp", "left_anti"))  # nothing merges there: a similarity on the last digit of the threshold
+    # nodes move to smaller ones only, so a cluster's name is the smallest node of its chain of moves
+    ends = connected_components(reduce(DataFrame.union, [m.toDF("a", "b") for m in moves])).toDF("cluster", "to")
+    member = durable_round(member.join(ends, "cluster", "left").select(F.col("row").alias("node"), F.coalesce("to", "cluster").alias("cluster")))
     size = member.groupBy("cluster").count()
-    rows = durable(member.join(size, "cluster").join(large.select(F.col("key").alias("node"), "vector"), "node").select(F.col("cluster").alias("comp"), F.col("count").alias("n"), F.col("node").alias("key"), "vector"))
+    rows = durable_round(member.join(size, "cluster").join(large.select(F.col("key").alias("node"), "vector"), "node").select(F.col("cluster").alias("comp"), F.col("count").alias("n"), F.col("node").alias("key"), "vector"))
     schema = "key bigint, cluster bigint, size bigint, typicality double"
     out = rows.where(F.col("n") <= V.GROUP_ROWS).repartition("comp").sortWithinPartitions("comp", "key").mapInArrow(_link_groups(dim, similarity, linked=True), schema)
     wide = rows.where(F.col("n") > V.GROUP_ROWS)
@@ -270,7 +349,7 @@ def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
         return out
     pairs = V.chunk_pairs(wide).withColumn("group", F.xxhash64("comp", "i", "j"))
     bad = misfits(pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_misses(dim, round(similarity * V.MICRO)), "comp bigint, a bigint, b bigint"))
-    kept = durable(wide.join(bad, "key", "left_anti").select("key", "vector", "comp").mapInArrow(_unit_rows(dim), "node bigint, total array<double>, comp bigint"))
+    kept = durable_round(wide.join(bad, "key", "left_anti").select("key", "vector", "comp").mapInArrow(_unit_rows(dim), "node bigint, total array<double>, comp bigint"))
     named = kept.groupBy("comp").agg(F.min("node").alias("cluster"), F.count("*").alias("size"), F.array(*[F.sum(F.col("total")[i]) for i in range(dim)]).alias("mean"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     typical = F.round(dot(F.col("total"), F.col("mean")) / F.sqrt(dot(F.col("mean"), F.col("mean"))), 6)

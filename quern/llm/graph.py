@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import durable
+from quern.session import durable_round
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,16 +25,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         else:
             place = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
             m = ends.groupBy("node").agg(F.min(place("other")).alias("m")).select("node", F.least(place("node"), "m")["x"].alias("to"))
-        m = durable(m)
+        m = durable_round(m)
         maps.append(m)
         left, right = m.toDF("a", "ta"), m.toDF("b", "tb")
-        edges = durable(edges.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        edges = durable_round(edges.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         if edges.isEmpty():
             break
     out = maps[0].select("node", F.col("to").alias("comp"))
     for m in maps[1:]:
         out = out.join(m.toDF("comp", "next"), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
     if len(maps) > 2:  # the last image is not the smallest node
-        out = durable(out)
+        out = durable_round(out)
         out = out.join(out.groupBy("comp").agg(F.min("node").alias("least")), "comp").select("node", F.col("least").alias("comp"))
     return out

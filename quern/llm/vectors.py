@@ -1,17 +1,18 @@
-"""Nearest neighbours of every vector by multi-index hashing over learned rotated binary codes.
-
-Plan: (1) a rotation is fitted on a bounded sample (iterative quantisation); (2) one narrow pass turns each vector into binary
-codes and sends (bucket, key, code) to the partition of each of its substrings, packed in binary blobs, one per partition and
-batch; (3) each bucket compares codes by population count and links the codes within the Hamming radius; links leave as stars,
-never as all pairs; (4) links are contracted to candidate groups; (5) each vector moves once, to its group, where cosines are
-taken in double precision. Groups beyond GROUP_ROWS are cut into chunks and compared chunk pair by chunk pair in different tasks.
+"""Nearest neighbours of every vector by an index of many tables over learned rotated binary codes.
+
+Plan: (1) a rotation for codes is fitted on a bounded sample (iterative quantisation), cells are the nearest signed axes of two random
+rotations a table; (2) one narrow pass turns each vector into its code and sends (cell, key, code) to PROBES cells of each of TABLES
+tables, packed in binary blobs, one per partition and batch: the bytes a row are the same at every row count; (3) each cell finds all
+pairs of codes within the Hamming radius by the pigeonhole rule over the code's four substrings and links them; links leave as stars,
+never as all pairs; (4) links are contracted to candidate groups; (5) each vector moves once, to its group, where cosines are taken in
+double precision. Groups beyond GROUP_ROWS are cut into chunks and compared chunk pair by chunk pair in different tasks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,14 @@ from pyspark.sql import functions as F
 from quern.llm.graph import connected_components
 from quern.session import durable, local_broadcast
 
-#: Rows of the bounded sample on which rotations are fitted.
+#: Rows of the bounded sample on which rotations are fitted and the index is tried out.
 SAMPLE_ROWS = 8_000
+#: Tables of the index, cells a row goes to in each, and the rows that a cell should hold.
+TABLES, PROBES, CELL_ROWS = 8, 4, 512
+#: A cell beyond this many rows, by the sample's estimate, is compared piece by piece in different tasks.
+PIECE_ROWS = 500_000
+#: Bits of a code; its substrings are the 64-bit words.
+BITS = 256
 #: A candidate group up to this size is ranked inside one task.
 GROUP_ROWS = 8_192
 #: Rows of a chunk of a larger group.
@@ -66,48 +73,114 @@ def fit_rotation(x: np.ndarray, seed: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Learned codes: substrings of `width` bits, `tables` of them; `full` bits are compared within radius `near`."""
+    """Learned codes and the cells of TABLES tables; cells of a table: signed axes of one rotation times those of another."""
 
     mean: np.ndarray
     rotation: np.ndarray
-    width: int
-    tables: int
+    turns: tuple[np.ndarray, np.ndarray]
     parts: int
-    full: int = 256
-    near_half: int = 42
-    near: int = 78
-
-    def codes(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n, full/64) words and (n, tables) bucket numbers."""
-        bits = ((u - self.mean).astype(np.float32) @ self.rotation) > 0
-        words = np.packbits(bits[:, : self.full], axis=1).view(np.uint64)
-        used = bits[:, bits.shape[1] - self.width * self.tables :].reshape(len(u), self.tables, self.width)
-        value = used @ (1 << np.arange(self.width, dtype=np.int64))
-        return words, value + (np.arange(self.tables, dtype=np.int64) << self.width)
-
-
-def radius(similarity: float, bits: int, sigmas: float) -> int:
-    p = math.acos(similarity) / math.pi
-    return int(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
+    near: int = BITS
+    pieces: tuple[tuple[int, int], ...] = ()
+
+    def codes(self, u: np.ndarray) -> np.ndarray:
+        """(n, BITS / 64) words."""
+        return np.packbits(((u - self.mean).astype(np.float32) @ self.rotation) > 0, axis=1).view(np.uint64)
+
+    def cells(self, u: np.ndarray) -> np.ndarray:
+        """(n, TABLES * PROBES) cell numbers, unlike between tables; -1 where there are fewer cells than probes."""
+        x = (u - self.mean).astype(np.float32)
+        out = np.full((len(u), TABLES, PROBES), -1, np.int64)
+        for t in range(TABLES):
+            (a, va), (b, vb) = (_axes(x @ side[t]) for side in self.turns)
+            pairs = a.shape[1] * b.shape[1]
+            total = (va[:, :, None] + vb[:, None, :]).reshape(len(u), pairs)
+            number = (a[:, :, None] * (2 * self.turns[1].shape[2]) + b[:, None, :]).reshape(len(u), pairs)
+            take = min(PROBES, total.shape[1])
+            top = np.argpartition(-total, take - 1, axis=1)[:, :take] if total.shape[1] > take else np.tile(np.arange(take), (len(u), 1))
+            out[:, t, :take] = np.take_along_axis(number, top, 1) + t * self.count
+        return out.reshape(len(u), TABLES * PROBES)
+
+    @property
+    def count(self) -> int:
+        """Cells of a table."""
+        return 4 * self.turns[0].shape[2] * self.turns[1].shape[2]
+
+    @property
+    def nbytes(self) -> int:
+        return self.mean.nbytes + self.rotation.nbytes + sum(x.nbytes for x in self.turns) + 64 * len(self.pieces)
+
+
+def _axes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The PROBES largest projections of each row: their signed axis numbers and sizes."""
+    take = min(PROBES, s.shape[1])
+    size = np.abs(s)
+    at = np.argpartition(-size, take - 1, axis=1)[:, :take] if s.shape[1] > take else np.tile(np.arange(take), (len(s), 1))
+    return 2 * at + (np.take_along_axis(s, at, 1) > 0), np.take_along_axis(size, at, 1)
+
+
+def _trial(x: np.ndarray, similarity: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at exactly this cosine; the second leans towards another row of the sample, so it lies where data lie."""
+    x = x[rng.permutation(len(x))[:2_000]]
+    other = x[rng.permutation(len(x))] if len(x) >= 256 else rng.standard_normal(x.shape)
+    other = other - np.einsum("ij,ij->i", other, x)[:, None] * x
+    size = np.linalg.norm(other, axis=1)
+    ok = size > 1e-3
+    x, other = x[ok], other[ok] / size[ok, None]
+    return x, similarity * x + math.sqrt(max(0.0, 1 - similarity**2)) * other
 
 
 def fit_index(vectors: DataFrame, dim: int, similarity: float, recall: float, seed: int = 7) -> Index:
-    """Substring width grows with the row count, so that a bucket keeps a few hundred rows; the number of substrings follows from
-    the recall wanted at exactly `similarity` (pairs above it are found more surely)."""
+    """The number of cells follows the row count, so that a cell holds some CELL_ROWS rows, as long as pairs at exactly `similarity`,
+    tried out on the sample, share a cell of some table with probability `recall` (pairs above it do so more surely); beyond that
+    cells grow instead. The Hamming radius holds all but 3 in 1,000 of those pairs."""
     n = max(1, vectors.count())
-    width = min(24, max(4, round(math.log2(n / 400))))
-    agree = 1 - math.acos(similarity) / math.pi
-    tables = max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree**width)))
     pool = vectors.sample(min(1.0, 1.3 * SAMPLE_ROWS / n), seed).limit(SAMPLE_ROWS).toArrow()
     blocks = [valid_block(b, dim)[2] for b in pool.to_batches()]
     x = unit(np.concatenate(blocks)) if sum(map(len, blocks)) else np.zeros((0, dim))
+    rng = np.random.default_rng(seed)
     mean = x.mean(0) if len(x) else np.zeros(dim)
-    rotation = np.hstack([fit_rotation(x - mean, seed + i) for i in range(max(2, math.ceil(max(256, width * tables) / dim)))])
-    parts = max(12, math.ceil(n * tables * 48 / 24e6))
-    return Index(mean, rotation.astype(np.float32), width, tables, parts, 256, radius(similarity, 128, 2.7), radius(similarity, 256, 2.7))
-
-
-RECORD = np.dtype([("bucket", "<i8"), ("key", "<i8"), ("w", "<u8", (4,))])
+    rotation = np.hstack([fit_rotation(x - mean, seed + i) for i in range(math.ceil(BITS / dim))])[:, :BITS].astype(np.float32)
+    wide = [np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(TABLES)]).astype(np.float32) for _ in range(2)]
+    one, two = _trial(x, similarity, rng)
+    deep = min(2 * int(math.log2(dim)), max(0, round(math.log2(n * PROBES / CELL_ROWS)) - 2))
+    while True:
+        axes = [min(dim, 1 << (deep + 1) // 2), min(dim, 1 << deep // 2)]
+        index = Index(mean, rotation, tuple(side[:, :, :m].copy() for side, m in zip(wide, axes)), max(12, math.ceil(n * TABLES * PROBES * RECORD.itemsize / 24e6)))
+        a, b = (index.cells(v).reshape(len(v), TABLES, PROBES) for v in (one, two))
+        met = ((a[:, :, :, None] == b[:, :, None, :]) & (a[:, :, :, None] >= 0)).any((2, 3)).any(1)
+        if deep == 0 or not len(met) or met.mean() >= recall:
+            break
+        deep -= 1
+    if not len(one):
+        return index
+    far = np.bitwise_count(index.codes(one) ^ index.codes(two)).sum(1)
+    words, cells = index.codes(x), index.cells(x)
+    _, alone = np.unique(np.ascontiguousarray(words).view(f"V{BITS // 8}").ravel(), return_index=True)  # copies are joined before they are sent
+    cell, seen = np.unique(cells[alone].ravel(), return_counts=True)
+    pieces = np.minimum(1_000, np.ceil(seen / len(x) * n / PIECE_ROWS)).astype(int)
+    hot = (pieces > 1) & (seen > 8) & (cell >= 0)
+    return replace(index, near=math.ceil(far.mean() + 2.75 * far.std()), pieces=tuple(zip(cell[hot].tolist(), pieces[hot].tolist())))
+
+
+RECORD = np.dtype([("bucket", "<i8"), ("key", "<i8"), ("w", "<u8", (BITS // 64,))])
+
+
+def _placed(ix: Index, keys: np.ndarray, words: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Records of the rows in their cells; a row of a hot cell goes to each pair of pieces that holds its own piece."""
+    row, col = np.nonzero(cells >= 0)
+    bucket = cells[row, col] << 20
+    parts = [(row, bucket)]
+    for cell, g in ix.pieces:
+        at = np.flatnonzero(bucket == cell << 20)
+        if len(at):
+            own = (keys[row[at]] * 0x9E3779B1 >> 11) % g
+            parts += [(row[at], bucket[at] | np.minimum(own, x) << 10 | np.maximum(own, x) + 1) for x in range(g)]
+            bucket[at] = -1
+    row, bucket = (np.concatenate(x) for x in zip(*parts))
+    row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+    rec = np.empty(len(row), RECORD)
+    rec["bucket"], rec["key"], rec["w"] = bucket, keys[row], words[row]
+    return rec
 
 
 def _emit(index, dim: int):
@@ -117,25 +190,23 @@ def _emit(index, dim: int):
             _, keys, v = valid_block(batch, dim)
             if not len(keys):
                 continue
-            words, buckets = ix.codes(unit(v))
+            u = unit(v)
+            words = ix.codes(u)
             # equal codes meet at once: one of them goes on, the others are linked to it (map-side combining of copies)
-            _, first, same = np.unique(np.ascontiguousarray(words).view("V32").ravel(), return_index=True, return_inverse=True)
+            _, first, same = np.unique(np.ascontiguousarray(words).view(f"V{BITS // 8}").ravel(), return_index=True, return_inverse=True)
             rep = first[same.ravel()]
             link = rep != np.arange(len(keys))
-            out_part, out_blob, out_a, out_b = [], [], [], []
             keep = np.flatnonzero(~link)
-            rec = np.empty((len(keep), ix.tables), RECORD)
-            rec["bucket"], rec["key"], rec["w"] = buckets[keep], keys[keep, None], words[keep, None, :]
-            rec = rec.ravel()
-            part = (rec["bucket"] * 0x9E3779B1 >> 8) % ix.parts
-            order = np.argsort(part, kind="stable")
+            rec = _placed(ix, keys[keep], words[keep], ix.cells(u[keep]))
+            part = ((rec["bucket"] >> 3) * 0x9E3779B1 >> 8) % ix.parts
+            order = np.lexsort((rec["key"], part))  # a row's records in one partition stand together and compress
             rec, part = rec[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
-            for chunk, p in zip(np.split(rec, cuts), part[np.concatenate([[0], cuts])] if len(part) else []):
-                out_part.append(int(p)), out_blob.append(chunk.tobytes()), out_a.append(None), out_b.append(None)
-            n = int(link.sum())
-            out_part += [int(x) for x in keys[link] % ix.parts]
-            out_blob += [None] * n
+            out_part = part[np.concatenate([[0], cuts])].tolist() if len(part) else []
+            out_blob = [c.tobytes() for c in np.split(rec, cuts)] if len(part) else []
+            out_a, out_b = [None] * len(out_part), [None] * len(out_part)
+            out_part += (keys[link] % ix.parts).tolist()
+            out_blob += [None] * int(link.sum())
             out_a += keys[link].tolist()
             out_b += keys[rep[link]].tolist()
             yield pa.record_batch([pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["part", "blob", "a", "b"])
@@ -160,10 +231,11 @@ def merge_labels(lab: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return lab
 
 
-def bucket_labels(words: np.ndarray, near_half: int, near: int, tile: int = 512) -> np.ndarray:
-    """Groups of the codes of one bucket that are joined by steps within the Hamming radius.
+def bucket_labels(words: np.ndarray, near: int, tile: int = 512) -> np.ndarray:
+    """Groups of the codes of one cell that are joined by steps within the Hamming radius.
 
-    Tile pairs that lie in one group already are skipped, so a bucket of near copies costs one pass, not its square.
+    Pigeonhole rule: of m substrings one differs in at most near // m bits where the whole code differs in at most near, so every code
+    within the radius is met; its whole distance is then taken. Tile pairs that lie in one group already are skipped, so a bucket of near copies costs one pass, not its square.
     """
     g = len(words)
     lab = np.arange(g)
@@ -187,9 +259,11 @@ def bucket_labels(words: np.ndarray, near_half: int, near: int, tile: int = 512)
             if a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all():
                 continue
             wa, wb = words[j : j + tile], words[i : i + tile]
-            h = np.bitwise_count(wa[:, None, 0] ^ wb[None, :, 0])
-            h += np.bitwise_count(wa[:, None, 1] ^ wb[None, :, 1])
-            x, y = np.divmod(np.flatnonzero(h.ravel() <= near_half), len(wb))
+            share = near // words.shape[1]
+            met = np.bitwise_count(wa[:, None, 0] ^ wb[None, :, 0]) <= share
+            for w in range(1, words.shape[1]):
+                met |= np.bitwise_count(wa[:, None, w] ^ wb[None, :, w]) <= share
+            x, y = np.divmod(np.flatnonzero(met.ravel()), len(wb))
             x, y = x + j, y + i
             new = (x < y) & (lab[x] != lab[y])
             x, y = x[new], y[new]
@@ -221,7 +295,7 @@ def _link(index):
                 if hi - lo < 2:
                     continue
                 keys = rec["key"][lo:hi]
-                lab = bucket_labels(rec["w"][lo:hi], ix.near_half, ix.near)
+                lab = bucket_labels(rec["w"][lo:hi], ix.near)
                 moved = np.flatnonzero(lab != np.arange(hi - lo))
                 if len(moved):  # a star around the group's smallest key
                     members = np.unique(np.concatenate([moved, lab[moved]]))
@@ -239,7 +313,7 @@ def hamming_links(vectors: DataFrame, dim: int, similarity: float, recall: float
     """Stars (a, b) over the rows of (key, vector) whose codes lie within the radius that `similarity` implies."""
     spark = vectors.sparkSession
     fitted = fit_index(vectors, dim, similarity, recall)
-    index = local_broadcast(spark, fitted, 64 << 20, fitted.rotation.nbytes + fitted.mean.nbytes)
+    index = local_broadcast(spark, fitted, 64 << 20, fitted.nbytes)
     sent = vectors.mapInArrow(_emit(index, dim), "part int, blob binary, a bigint, b bigint").repartition(fitted.parts, "part")
     return sent.mapInArrow(_link(index), "a bigint, b bigint").distinct()
 
@@ -372,13 +446,36 @@ def similar_neighbours(vectors: DataFrame, k: int = 5, similarity: float = 0.75,
     schema = "key bigint, neighbour bigint, micro bigint"
     out = small.repartition("comp").sortWithinPartitions("comp", "key").mapInArrow(_rank_groups(dim, k, floor), schema)
     if hot:
-        pairs = chunk_pairs(large).withColumn("group", F.xxhash64("comp", "i", "j"))
+        front, rest = copies_apart(large, k)
+        pairs = chunk_pairs(front).withColumn("group", F.xxhash64("comp", "i", "j"))
         ranked = pairs.repartition("group").sortWithinPartitions("group").mapInArrow(_rank_chunks(dim, k, floor), schema)
         w = Window.partitionBy("key").orderBy(F.desc("micro"), "neighbour")
-        out = out.unionByName(ranked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn"))
+        ranked = durable(ranked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn"))
+        out = out.unionByName(ranked)
+        if not rest.isEmpty():  # a further copy has the neighbours of its first copy and that copy itself
+            firsts = rest.select("first").distinct()
+            near = ranked.join(firsts, ranked["key"] == firsts["first"]).select("first", "neighbour", "micro").union(firsts.select("first", "first", F.lit(MICRO).cast("bigint")))
+            w = Window.partitionBy("first").orderBy(F.desc("micro"), "neighbour")
+            near = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+            out = out.unionByName(rest.join(near, "first").select("key", "neighbour", "micro"))
     return out
 
 
+def copies_apart(large: DataFrame, k: int, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(the k + 1 first keys of each vector of (comp, n, key, vector), n counted anew; (key, first) of all further copies).
+
+    The first keys are found within salts and then over them, so that no task sorts all copies of a vector."""
+    w = Window.partitionBy("comp", "vector", "salt").orderBy("key")
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts))).withColumn("rn", F.row_number().over(w))
+    w = Window.partitionBy("comp", "vector").orderBy("key")
+    lead = durable(salted.where(F.col("rn") <= k + 1).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1).select("comp", "vector", "key", "place"))
+    front = lead.join(lead.groupBy("comp").agg(F.count("*").alias("n")), "comp").select("comp", "n", "key", "vector")
+    full = lead.where(F.col("place") == k + 1).select("comp", "vector", F.col("key").alias("last"))
+    heads = lead.where("place = 1").select("comp", "vector", F.col("key").alias("first")).join(full, ["comp", "vector"])
+    rest = large.join(heads, ["comp", "vector"]).where(F.col("key") > F.col("last")).select("key", "first")
+    return front, durable(rest)
+
+
 def _block_scan(queries, dim: int, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qk, qu = queries.value

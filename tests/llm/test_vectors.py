@@ -47,7 +47,7 @@ def test_neighbours_equal_brute_force(spark):
 
 @pytest.mark.parametrize(("group", "chunk"), [(10, 16)])
 def test_large_groups_take_the_chunked_way(spark, monkeypatch, group, chunk):
-    rows = noisy(3, 60, singles=40)
+    rows = noisy(3, 24, singles=40)
     rows += [(7000 + i, rows[0][1]) for i in range(25)]
     df = spark.createDataFrame(rows, SCHEMA)
     plain = {tuple(r) for r in C.similarity_clusters(df).select("key", "cluster", "size").collect()}
@@ -102,7 +102,7 @@ def test_bucket_labels_in_tiles():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)
     words = base[rng.integers(0, 6, 300)]
-    lab = V.bucket_labels(words, 40, 80, tile=16)
+    lab = V.bucket_labels(words, 80, tile=16)
     want = {tuple(w): np.flatnonzero((words == w).all(1)) for w in np.unique(words, axis=0)}
     assert all((lab[m] == m[0]).all() or len(set(lab[m])) == 1 for m in want.values()) and len(set(lab.tolist())) == len(want)
 
@@ -188,3 +188,80 @@ def test_large_groups_are_linked_to_the_end(spark, monkeypatch):
     df = spark.createDataFrame(rows, "key bigint, vector array<float>, comp bigint, n bigint")
     got = {(r["key"], r["cluster"], r["size"]) for r in C._link_large(df, 128, 0.75).collect()}
     assert got == {(5 * g + i + 1, 5 * g + 1, 5) for g in range(12) for i in range(5)}
+
+
+@pytest.mark.parametrize("group", [50, 120])
+def test_overlapping_groups_are_linked_alike_at_every_size(spark, monkeypatch, group):
+    """One linked group whose clusters are not closed: rows along an arc, with copies."""
+    rng = np.random.default_rng(21)
+    at = np.sort(rng.uniform(0, 6, 220))
+    x = np.zeros((220, 128))
+    x[:, 0], x[:, 1] = np.cos(at), np.sin(at)
+    x[:, 2:] = 0.05 * rng.normal(size=(220, 126)) / np.sqrt(126) * 11
+    x[200:] = x[:20]
+    x = np.float32(x)
+    u = V.unit(x.astype(float))
+    lab = C.link_rows(u, x.astype(float), 0.75)
+    df = spark.createDataFrame([(i + 1, [float(v) for v in r], 1, 220) for i, r in enumerate(x)], "key bigint, vector array<float>, comp bigint, n bigint")
+    small = V.chunk_pairs
+    monkeypatch.setattr(V, "chunk_pairs", lambda large: small(large, 64))
+    want = {}
+    for c in np.unique(lab):
+        m = np.flatnonzero(lab == c)
+        m = m[C.peel(u[m], 750_000)]
+        want |= {int(i) + 1: (int(m[0]) + 1, len(m)) for i in m}
+    assert len({w for w, _ in want.values()}) > 4
+    monkeypatch.setattr(V, "GROUP_ROWS", group)
+    got = {r["key"]: (r["cluster"], r["size"]) for r in C._link_large(df, 128, 0.75).collect()}
+    assert got == want
+
+
+def test_a_hot_group_of_copies_keeps_exact_neighbours(spark, monkeypatch):
+    rows = noisy(1, 30, singles=20, seed=13)
+    rows += [(4000 + i, rows[i % 2][1]) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(V, "GROUP_ROWS", 10)
+    small = V.chunk_pairs
+    monkeypatch.setattr(V, "chunk_pairs", lambda large: small(large, 16))
+    assert {tuple(r) for r in V.similar_neighbours(df).collect()} == brute(rows)[0]
+
+
+def test_index_records_do_not_grow_with_the_rows(spark):
+    """A row goes to the same number of cells at every row count, and pairs at the threshold meet as promised."""
+    rng = np.random.default_rng(2)
+    x = V.unit(rng.normal(size=(3_000, 128)))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], SCHEMA)
+
+    class Many:  # the sample of a table that says it has n rows
+        def __init__(self, n):
+            self.n = n
+
+        def count(self):
+            return self.n
+
+        def sample(self, share, seed):
+            return df
+
+    counts = set()
+    for n in (20_000, 2_000_000, 40_000_000):
+        ix = V.fit_index(Many(n), 128, 0.75, 0.95)
+        counts.add(len(V._placed(ix, np.arange(100), ix.codes(x[:100]), ix.cells(x[:100]))) / 100)
+        one, two = V._trial(x, 0.75, np.random.default_rng(9))
+        a, b = ix.cells(one), ix.cells(two)
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.93
+        assert (np.bitwise_count(ix.codes(one) ^ ix.codes(two)).sum(1) <= ix.near).mean() > 0.99
+    assert counts == {V.TABLES * V.PROBES}
+
+
+def test_hot_cells_are_cut_into_pieces_without_losing_pairs():
+    rng = np.random.default_rng(4)
+    x = V.unit(rng.normal(size=(64, 128)))
+    rot = np.linalg.qr(rng.normal(size=(128, 128)))[0].astype(np.float32)
+    ix = V.Index(np.zeros(128), np.hstack([rot, rot]), tuple(np.stack([rot[:, :2]] * V.TABLES) for _ in range(2)), 12, 80)
+    hot = V.replace(ix, pieces=((3, 5), (20, 3)))
+    keys, words, cells = np.arange(64), ix.codes(x), ix.cells(x)
+
+    def met(rec):
+        return {(a, b) for bucket in np.unique(rec["bucket"]) for m in [np.sort(rec["key"][rec["bucket"] == bucket])] for i, a in enumerate(m.tolist()) for b in m.tolist()[i + 1 :]}
+
+    assert met(V._placed(ix, keys, words, cells)) == met(V._placed(hot, keys, words, cells))
