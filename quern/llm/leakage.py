@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +20,11 @@ from quern.llm.words import WORD, clean, fold, mapped, words
 from quern.session import local_broadcast, spread
 
 WINDOW, EDITS, SEED = 16, 2, 5
-#: Passages of one automaton; more of them are scanned for in blocks.
-BLOCK = 20_000
+#: Characters of the passages of one automaton; more of them are scanned for in blocks.
+BLOCK = 32 << 20
+
+
+_BUILT: dict = {}
 
 
 def reach(p: list[str], d: list[str], i: int, j: int, step: int, edits: int) -> list[tuple[int, int]]:
@@ -56,16 +60,20 @@ def _scan(sent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        items = sent.value
-        seeds: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, p) in enumerate(items):
-            for i in range(len(p) - SEED + 1):
-                seeds.setdefault(" " + " ".join(p[i : i + SEED]) + " ", []).append((n, i))
-        auto = ahocorasick.Automaton()
-        for s, at in seeds.items():
-            auto.add_word(s, (len(s), at))
-        if seeds:
-            auto.make_automaton()
+        name, items = sent.value
+        if name not in _BUILT:  # once a worker and block of passages
+            _BUILT.clear()
+            seeds: dict[str, list[tuple[int, int]]] = {}
+            for n, (_, p) in enumerate(items):
+                for i in range(len(p) - SEED + 1):
+                    seeds.setdefault(" " + " ".join(p[i : i + SEED]) + " ", []).append((n, i))
+            auto = ahocorasick.Automaton()
+            for s, at in seeds.items():
+                auto.add_word(s, (len(s), at))
+            if seeds:
+                auto.make_automaton()
+            _BUILT[name] = auto, bool(seeds)
+        auto, seeds = _BUILT[name]
         for b in it:
             ids, texts = b.column(0), b.column(1)
             out = []
@@ -118,17 +126,19 @@ def leaked_items(documents: DataFrame, passages: DataFrame, block: int = BLOCK)
     matched_words is the widest such stretch, the positions are code points of the original text. Case, accents, punctuation, spacing,
     line-end hyphens, list marks, markup and page marks do not count. Null ids and null, empty or shorter texts match nothing; copies
     each have their row; repeated rows of one document repeat only the row's positions and are made distinct.
-    The passages are a bounded set: they go to the workers in blocks of at most `block`, each one scan of the documents.
+    Passages go to the workers in blocks of about `block` characters, each one scan of the documents; a longer passage is its own block.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(documents.columns[0]).cast("bigint").alias("doc_id"), F.col(documents.columns[1]).alias("text")).where("doc_id is not null and text is not null")
     pas = passages.select(F.col(passages.columns[0]).cast("bigint").alias("item_id"), F.col(passages.columns[1]).alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, math.ceil(pas.count() / block))
+    pas = pas.distinct()
+    size = pas.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    blocks = max(1, math.ceil((size[0] or 0) / block))
     out = None
     for i in range(blocks):
-        rows = pas.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).distinct().toArrow().to_pylist()
+        rows = pas.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow().to_pylist()
         items = [(r["item_id"], words(r["text"])) for r in rows]
-        sent = local_broadcast(spark, items, 256 << 20, sum(len(x["text"]) for x in rows) * 4)
+        sent = local_broadcast(spark, (uuid4().hex, items), 4 * (2 * block + 4 * (size[1] or 0)), 4 * sum(len(x["text"]) for x in rows))
         part = spread(docs).mapInArrow(_scan(sent), "doc_id bigint, item_id bigint, matched_words int, start_pos int, end_pos int")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -1,9 +1,11 @@
 """Records of evaluation splits that occur, exactly or almost, in a training split: a weighted cosine join.
 
 A record's vector holds the words and the adjacent word pairs of both its sentences, weighted by rarity. Two edits in each sentence
-bound from below the cosine that a true partner must have; with that bound as the record's own threshold, only the heaviest terms of
-a training record need an inverted list (the rest's norm stays below the threshold), and a candidate whose partial product plus that
-residual norm stays below it is pruned. What is left gets its exact product and a word-by-word comparison.
+bound from below the cosine that a true partner must have; that bound is the record's own threshold. Terms are ordered by weight, alike
+in all records, and only a record's heaviest terms need a place in the inverted lists: what they leave out has a norm below the
+threshold. The heaviest term that two partners share is among these in both, so lists hold prefixes on both sides. A candidate whose
+partial product plus the larger residual norm stays below the threshold is pruned; the rest gets its exact product and a word-by-word
+comparison. Sentences of equal letters that are spaced otherwise meet by their letters.
 
 Document frequencies are counted over all records in a table of 2^20 hashed cells, which is also the bound of what is broadcast.
 """
@@ -27,32 +29,42 @@ CELLS = 1 << 20
 EDITS = 2
 #: Records whose vectors a worker keeps at hand.
 MEMORY = 1 << 15
-#: Term under which records meet that are so short that no shared term is sure.
+#: Term under which records meet all of whose words may be replaced: both sentences have at most EDITS words.
 SHORT = -1
 
 
+def respaced(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int] | None:
+    """The shortest runs of words from a[i] and b[j] that have the same letters, as their ends."""
+    x, y, i, j = a[i], b[j], i + 1, j + 1
+    while x != y:
+        if len(x) < len(y) and y.startswith(x) and i < len(a):
+            x, i = x + a[i], i + 1
+        elif len(y) < len(x) and x.startswith(y) and j < len(b):
+            y, j = y + b[j], j + 1
+        else:
+            return None
+    return i, j
+
+
 def distance(a: list[str], b: list[str], most: int = EDITS) -> int:
-    """Words replaced, missing or added between a and b, counted up to most + 1; the same letters spaced otherwise are equal."""
-    if abs(len(a) - len(b)) > most:
-        return 0 if "".join(a) == "".join(b) else most + 1
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    a, b = a[i:], b[i:]
-    i = 0
-    while i < min(len(a), len(b)) and a[-1 - i] == b[-1 - i]:
-        i += 1
-    a, b = a[: len(a) - i], b[: len(b) - i]
-    if "".join(a) == "".join(b):
-        return 0
-    row = list(range(len(b) + 1))
-    for x in range(1, len(a) + 1):
-        last, row[0] = row[0], x
-        for y in range(1, len(b) + 1):
-            last, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, last + (a[x - 1] != b[y - 1]))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+    """Words replaced, missing or added between a and b, counted up to most + 1; runs of the same letters spaced otherwise are equal."""
+
+    def walk(i: int, j: int, left: int) -> int:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        if i == len(a) or j == len(b):
+            rest = len(a) - i + len(b) - j
+            return rest if rest <= left else left + 1
+        best = left + 1
+        if at := respaced(a, b, i, j):
+            best = walk(*at, left)
+        for x, y in ((i + 1, j + 1), (i + 1, j), (i, j + 1)):
+            if best == 0 or left == 0:
+                break
+            best = min(best, 1 + walk(x, y, min(left, best - 1) - 1))
+        return best
+
+    return walk(0, 0, most)
 
 
 def sentence_terms(s: list[str]) -> tuple[list[int], list[int]]:
@@ -101,34 +113,32 @@ def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
 
 
-def _postings(sent):
-    """One row a term: all terms of an evaluation record, the indexed prefix of a training record."""
+def _profiles(sent):
+    """A record's terms for the inverted lists, the heaviest first, with its norm, its threshold and the norm left out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, heaviest = sent.value
         for b in it:
-            out: list[list] = [[] for _ in range(9)]
-            for ev, cls, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
+            out: list[list] = [[] for _ in range(7)]
+            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 a, z = x.split(), y.split()
                 terms = record_terms(a, z)
                 w = weigh(terms, idf)
-                mass = float((w * w).sum())
+                mass = float(w @ w)
                 least = bound(a, z, mass, idf, heaviest)
                 order = np.lexsort((terms, -w))
                 terms, w = terms[order], w[order]
                 rest = mass - np.cumsum(w * w)
-                if not ev and least > 0:
+                if least > 0:
                     n = int(np.searchsorted(-rest, -(least * least * mass * (1 - 1e-9)), side="right")) + 1
                     terms, w, rest = terms[:n], w[:n], rest[:n]
-                residual = float(np.sqrt(max(0.0, rest[-1])))
                 ids, ws = terms.tolist(), w.tolist()
-                if len(a) <= 2 * EDITS and len(z) <= 2 * EDITS:
-                    ids.append(SHORT), ws.append(heaviest * 100)
-                n = len(ids)
-                for column, value in zip(out, (ids, ws, [ev] * n, [cls] * n, [mass] * n, [least] * n, [residual] * n, [len(a)] * n, [len(z)] * n)):
-                    column += value
-            kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["term", "w", "eval", "class", "mass", "least", "residual", "nx", "ny"])
+                if len(a) <= EDITS and len(z) <= EDITS:
+                    ids.append(SHORT), ws.append(0.0)
+                for column, value in zip(out, (ids, ws, mass, least, float(np.sqrt(max(0.0, rest[-1]))), len(a), len(z))):
+                    column.append(value)
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["class", "terms", "ws", "mass", "least", "residual", "nx", "ny"])
 
     return run
 
@@ -138,19 +148,19 @@ def _compare(sent):
         idf, _ = sent.value
 
         @lru_cache(MEMORY)  # a record meets many candidates
-        def vector(x: str, y: str) -> tuple[np.ndarray, float]:
-            t = record_terms(x.split(), y.split())
-            return t, float((weigh(t, idf) ** 2).sum())
+        def vector(x: str, y: str) -> tuple[dict[int, float], float, list[str], list[str]]:
+            a, z = x.split(), y.split()
+            t = record_terms(a, z)
+            w = weigh(t, idf) ** 2
+            return dict(zip(t.tolist(), w.tolist())), float(w.sum()), a, z
 
         for b in it:
             ok = []
             for ax, ay, bx, by, least in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
-                (ta, ma), (tb, mb) = vector(ax, ay), vector(bx, by)
-                shared = weigh(np.intersect1d(ta, tb, assume_unique=True), idf)
-                same = float((shared * shared).sum()) >= (least - 1e-9) * np.sqrt(ma * mb)
+                (ta, ma, ax, ay), (tb, mb, bx, by) = vector(ax, ay), vector(bx, by)
+                same = least <= 0 or sum([ta[t] for t in ta.keys() & tb.keys()]) >= (least - 1e-9) * np.sqrt(ma * mb)
                 if same:
-                    ax, ay, bx, by = ax.split(), ay.split(), bx.split(), by.split()
-                    same = max(distance(ax, bx), distance(ay, by)) <= EDITS or max(distance(ax, by), distance(ay, bx)) <= EDITS
+                    same = distance(ax, bx) <= EDITS and distance(ay, by) <= EDITS or distance(ax, by) <= EDITS and distance(ay, bx) <= EDITS
                 ok.append(bool(same))
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["ca", "cb"])
@@ -158,11 +168,22 @@ def _compare(sent):
     return run
 
 
+def _respaced_pairs(classes: DataFrame) -> DataFrame:
+    """(ca, cb): classes of which one sentence each has the same letters, spaced otherwise."""
+    one = classes.select("eval", "class", F.explode(F.array("x", "y")).alias("spaced")).withColumn("letters", F.md5(F.replace("spaced", F.lit(" "), F.lit(""))))
+    some = one.groupBy("letters").agg(F.min("spaced").alias("lo"), F.max("spaced").alias("hi")).where("lo <> hi").select("letters")
+    one = one.join(some, "letters")
+    a = one.where("eval").select("letters", F.col("class").alias("ca"), F.col("spaced").alias("sa"))
+    b = one.where("not eval").select("letters", F.col("class").alias("cb"), F.col("spaced").alias("sb"))
+    return a.join(b, "letters").where("sa <> sb").select("ca", "cb")
+
+
 def cross_split_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(train_id, eval_id): records (pair_id, sentence1, sentence2) whose sentences match pairwise, in either order.
 
     Sentences match if at most two words are replaced, missing or added; case, accents, punctuation, spacing, markup and entities do
-    not count. Records with a null, empty or word-less sentence or a null id match nothing. Copies are compared once and expanded at
+    not count. Words joined or split count as word edits when candidates are sought, unless all letters of the sentence are equal; in
+    the comparison they are equal. Records with a null, empty or word-less sentence or a null id match nothing. Copies are compared once and expanded at
     the end; a repeated row gives no repeated pair. Extra columns are ignored.
     """
     spark = train.sparkSession
@@ -177,20 +198,23 @@ def cross_split_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     idf = np.maximum(0.05, np.log((total + 1) / df))
     sent = local_broadcast(spark, (idf, float(idf.max())), 16 << 20, idf.nbytes)
 
-    post = classes.select("eval", "class", "x", "y").mapInArrow(_postings(sent), "term bigint, w double, eval boolean, class binary, mass double, least double, residual double, nx int, ny int")
-    q = post.where("eval").drop("eval")
-    t = post.where("not eval").drop("eval")
+    schema = "class binary, terms array<bigint>, ws array<double>, mass double, least double, residual double, nx int, ny int"
+    profile = lambda side: classes.where(side).select("class", "x", "y").mapInArrow(_profiles(sent), schema)
+    lists = lambda df: df.select(F.explode(F.arrays_zip("terms", "ws")).alias("p"), *[c for c in df.columns if c not in ("terms", "ws")]).select("p.terms", "p.ws", "*").drop("p").withColumnsRenamed({"terms": "term", "ws": "w"})
+    q, t = lists(profile("eval")), lists(profile("not eval"))
     t = t.select("term", *[F.col(c).alias(f"t_{c}") for c in t.columns if c not in ("term", "w")])
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= EDITS
     fits = (near("nx", "t_nx") & near("ny", "t_ny")) | (near("nx", "t_ny") & near("ny", "t_nx"))
-    # spacing does not count: a word cut in two may shift lengths; such records still lie within the two words allowed
     hits = q.join(t, "term").where(fits).groupBy(F.col("class").alias("ca"), F.col("t_class").alias("cb")).agg(
-        F.sum(F.col("w") * F.col("w")).alias("part"), F.first("mass").alias("ma"), F.first("t_mass").alias("mb"), F.greatest(F.first("least"), F.first("t_least")).alias("least"), F.first("t_residual").alias("residual"), F.max(F.col("term") == SHORT).alias("short")
+        F.sum(F.col("w") * F.col("w")).alias("part"), F.first("mass").alias("ma"), F.first("t_mass").alias("mb"), F.greatest(F.first("least"), F.first("t_least")).alias("least"), F.first("residual").alias("ra"), F.first("t_residual").alias("rb")
     )
-    alive = hits.where(F.col("short") | (F.col("part") + F.col("residual") * F.sqrt("ma") >= F.col("least") * F.sqrt(F.col("ma") * F.col("mb")) * (1 - 1e-9)))
+    # shared terms outside the lists are all in the rest of the record whose list ends first
+    rest = F.greatest(F.col("ra") * F.sqrt("mb"), F.col("rb") * F.sqrt("ma"))
+    alive = hits.where(F.col("part") + rest >= F.col("least") * F.sqrt(F.col("ma") * F.col("mb")) * (1 - 1e-9)).select("ca", "cb", "least")
+    alive = alive.unionByName(_respaced_pairs(classes).withColumn("least", F.lit(0.0)))
     ea = classes.where("eval").select(F.col("class").alias("ca"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     tb = classes.where("not eval").select(F.col("class").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = alive.join(ea, "ca").join(tb, "cb").select("ca", "cb", "ax", "ay", "bx", "by", F.when(F.col("short"), 0.0).otherwise(F.col("least")).alias("least"))
+    pairs = alive.join(ea, "ca").join(tb, "cb").select("ca", "cb", "ax", "ay", "bx", "by", "least")
     matched = durable(pairs.mapInArrow(_compare(sent), "ca binary, cb binary"))
     me = clean.where("eval").select(F.col("class").alias("ca"), F.col("pair_id").alias("eval_id"))
     mt = clean.where("not eval").select(F.col("class").alias("cb"), F.col("pair_id").alias("train_id"))

@@ -27,8 +27,8 @@ LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвնոցԛԝαορνι
 LEET = str.maketrans("01345@$7", "oieasast")
 SPACES = 1 << 16
 PLACES = (0, -1, 1, -2, 2)
-#: Documents that are fitted on at most; where fewer are labelled, unlabelled ones fill up as clean ones of little weight.
-TRAIN_DOCS = 2_500
+#: Labelled documents that are fitted on at most, and the unlabelled ones that join them, at every size, as clean ones of little weight.
+TRAIN_DOCS, EXTRA_DOCS = 2_500, 2_000
 UNLABELLED = 0.07
 
 _MARK = "\\u0300-\\u036f\\u00ad\\u200b-\\u200f\\u2060"
@@ -307,19 +307,17 @@ def spans(text: str, hits: dict[int, np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def fit_on(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
+def fit_on(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, extra: int = EXTRA_DOCS) -> dict:
     """Fits on the labelled documents: (doc_id, text) and (doc_id, toxic). A document's label is its labels' majority; ties and nulls do
-    not count. At most about `most` documents are used, chosen by the hash of their id; if the labelled ones are fewer, unlabelled ones
-    join them as clean, at the weight UNLABELLED, so that common words are known as such."""
+    not count. About `most` of the labelled documents are used and about `extra` of the unlabelled ones, which count as clean at the
+    weight UNLABELLED, so that common words are known as such; both are chosen by the hash of their id."""
     votes = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
-    n = votes.count()
-    chosen = lambda df, share: df if share >= 1 else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
     texts = documents.where("text is not null and text <> ''")
-    rows = texts.join(chosen(votes, most / max(1, n)), "doc_id").select("text", (F.col("toxic") > 0.5).alias("toxic"), "doc_id", F.lit(1.0).alias("trust"))
-    if n < most:  # the share is of all rows, so that what reaches the driver is bounded without a sort
-        some = chosen(texts, (most - n) / max(1, documents.count())).join(votes, "doc_id", "left_anti")
-        rows = rows.unionByName(some.select("text", F.lit(False).alias("toxic"), "doc_id", F.lit(UNLABELLED).alias("trust")))
-    t = rows.limit(2 * most).toArrow()
+    share = lambda of, n: min(1_000_000_000, int(1e9 * of / max(1, n)))
+    chosen = lambda df, part: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < part)
+    rows = texts.join(chosen(votes, share(most, votes.count())), "doc_id").select("text", (F.col("toxic") > 0.5).alias("toxic"), "doc_id", F.lit(1.0).alias("trust"))
+    some = chosen(texts, share(extra, documents.count())).join(votes, "doc_id", "left_anti")
+    t = rows.unionByName(some.select("text", F.lit(False).alias("toxic"), "doc_id", F.lit(UNLABELLED).alias("trust"))).toArrow()
     order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
     texts_, toxic, trust = t["text"].to_pylist(), t["toxic"].to_pylist(), t["trust"].to_pylist()
     return fit([texts_[i] for i in order], [toxic[i] for i in order], [trust[i] for i in order])

@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _PAGE = re.compile(r"⁎\d*⁑")
 _HYPHEN = re.compile(r"(\w)[-‐‑­][ \t]*\r?\n[ \t]*(?=\w)")
 _INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF])

@@ -135,7 +135,7 @@ def test_leaks(spark):
     ]
     df = spark.createDataFrame([(k, t, 3) for k, t in docs], "doc_id bigint, text string, item_id int")
     ps = spark.createDataFrame([(i, " ".join(p)) for i, p in passage.items()] + [(9, None), (None, "x"), (10, "too short")], "item_id bigint, passage string")
-    for block in (2, 20_000):
+    for block in (300, 20_000):
         rows = L.leaked_items(df, ps, block).collect()
         assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 0), (2, 0), (7, 2), (9, 3)}
     by = {r["doc_id"]: r for r in rows}
@@ -144,6 +144,21 @@ def test_leaks(spark):
     assert L.leaked_items(df.limit(0), ps).count() == 0 and L.leaked_items(df, ps.limit(0)).count() == 0
 
 
+def test_a_long_tag_does_not_hide_a_leak(spark):
+    p = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(p[:10]) + ' <img alt="' + "z " * 400 + '"> ' + " ".join(p[10:]))], "doc_id bigint, text string")
+    assert L.leaked_items(docs, spark.createDataFrame([(5, " ".join(p))], "item_id bigint, text string")).first()["matched_words"] == 20
+
+
+def test_words_joined_or_split(spark):
+    rows = [(1, "the ice cream van shop near us", "one two three four five six"), (2, "a b c d e", "seven eight nine ten"), (3, "rain coat in the hall", "blue green red"), (4, "up", "down it"), (5, "an old stone bridge over water", "x y z here now")]
+    held = [(11, "theicecreamvanshopnearus", "one two three four five six"), (12, "abcde", "seven eight nine eleven"), (13, "red green blue", "raincoat in the hall"), (14, "left", "right then"), (15, "anoldstone bridge over water", "xyzherenow"), (16, "the ice cream van shop near us", "quite another one altogether here now")]
+    cols = "pair_id bigint, sentence1 string, sentence2 string"
+    got = {tuple(r) for r in O.cross_split_pairs(spark.createDataFrame(rows, cols), spark.createDataFrame(held, cols)).collect()}
+    assert got == {(1, 11), (2, 12), (3, 13), (4, 14), (5, 15)}
+    assert O.distance("a bc d x".split(), "ab c d y".split()) == 1 and O.distance("a b c".split(), "d e f".split()) == 3
+
+
 def test_leaks_behind_an_early_cluster_of_edits(spark):
     p = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(40)]
     swap = lambda at, n=40: " ".join(f"zq{chr(97 + i)}" if i in at else w for i, w in enumerate(p[:n]))
@@ -155,12 +170,12 @@ def test_leaks_behind_an_early_cluster_of_edits(spark):
 
 def test_every_seed_counts():
     rng = random.Random(8)
-    for _ in range(60):
+    for trial in range(60):
         p = [rng.choice("abcdefgh") + rng.choice("xy") for _ in range(45)]
         d = edit(rng, p, rng.randrange(3, 12))
         seeds = [(i, j) for i in range(len(p) - L.SEED + 1) for j in range(len(d) - L.SEED + 1) if p[i : i + L.SEED] == d[j : j + L.SEED]]
         want = max((L.widest(p, d, i, j)[0] for i, j in seeds), default=0)
-        got = [r for b in L._scan(SimpleNamespace(value=[(1, p)]))(iter([pa.record_batch([pa.array([7], pa.int64()), pa.array([" ".join(d)])], names=["doc_id", "text"])])) for r in b.to_pylist()]
+        got = [r for b in L._scan(SimpleNamespace(value=(str(trial), [(1, p)])))(iter([pa.record_batch([pa.array([7], pa.int64()), pa.array([" ".join(d)])], names=["doc_id", "text"])])) for r in b.to_pylist()]
         assert [r["matched_words"] for r in got] == ([want] if want >= L.WINDOW else [])
 
 

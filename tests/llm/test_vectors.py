@@ -136,6 +136,25 @@ def test_varied_subset(spark):
     assert K.varied_subset(df.limit(3), 0.01).count() == 1
 
 
+@pytest.mark.parametrize("block", [128, 1024, 4096])
+def test_a_tight_group_has_one_place_at_every_block_size(spark, monkeypatch, block):
+    """Half of the rows are one tight group; the covering radius stays near that of exact farthest-first."""
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=128)
+    x = np.concatenate([base + 0.02 * rng.normal(size=(1_500, 128)), rng.normal(size=(1_500, 128))])
+    x = np.float32(V.unit(x))[rng.permutation(3_000)]
+    monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "PIVOTS", 256)
+    got = K.varied_subset(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], SCHEMA), 0.1).collect()
+    u = V.unit(x.astype(float))
+    mine = u[[r["key"] for r in got]]
+    assert len({r["key"] for r in got}) == 300 and ((mine @ V.unit(base[None])[0]) > 0.9).sum() == 1
+    cover = lambda p: np.sqrt(2 - 2 * (u @ p.T).max(1).min())
+    exact = cover(u[K.farthest_first(u, 300)[0]])
+    print(f"block {block}: covering radius {cover(mine):.3f}, exact farthest-first {exact:.3f}")
+    assert cover(mine) < 1.2 * exact
+
+
 def plain_peel(u, floor):
     live = np.arange(len(u))
     while (bad := (V.micro(u[live], u[live]) < floor).sum(1)).any():
