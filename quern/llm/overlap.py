@@ -3,9 +3,9 @@
 A record's vector holds the words and the adjacent word pairs of both its sentences, weighted by rarity. Two edits in each sentence
 bound from below the cosine that a true partner must have; that bound is the record's own threshold. Terms are ordered by weight, alike
 in all records, and only a record's heaviest terms need a place in the inverted lists: what they leave out has a norm below the
-threshold. The heaviest term that two partners share is among these in both, so lists hold prefixes on both sides. A candidate whose
-partial product plus the larger residual norm stays below the threshold is pruned; the rest gets its exact product and a word-by-word
-comparison. Sentences of equal letters that are spaced otherwise meet by their letters.
+threshold. The heaviest term that two partners share is among these in both, so lists hold prefixes on both sides. Where records meet,
+lengths and word signatures are compared first; a candidate whose partial product plus the larger residual norm stays below the
+threshold is pruned; the rest gets its exact product and a word-by-word comparison. Sentences of equal letters that are spaced otherwise meet by their letters.
 
 Document frequencies are counted over all records in a table of 2^20 hashed cells, which is also the bound of what is broadcast.
 """
@@ -113,13 +113,21 @@ def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
 
 
+def signature(s: list[str]) -> int:
+    """One of 64 bits for each word. Sentences EDITS edits apart have at most EDITS bits each that the other lacks."""
+    bits = 0
+    for w in s:
+        bits |= 1 << (crc32(w.encode()) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _profiles(sent):
     """A record's terms for the inverted lists, the heaviest first, with its norm, its threshold and the norm left out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, heaviest = sent.value
         for b in it:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(9)]
             for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 a, z = x.split(), y.split()
                 terms = record_terms(a, z)
@@ -135,10 +143,10 @@ def _profiles(sent):
                 ids, ws = terms.tolist(), w.tolist()
                 if len(a) <= EDITS and len(z) <= EDITS:
                     ids.append(SHORT), ws.append(0.0)
-                for column, value in zip(out, (ids, ws, mass, least, float(np.sqrt(max(0.0, rest[-1]))), len(a), len(z))):
+                for column, value in zip(out, (ids, ws, mass, least, float(np.sqrt(max(0.0, rest[-1]))), len(a), len(z), signature(a), signature(z))):
                     column.append(value)
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["class", "terms", "ws", "mass", "least", "residual", "nx", "ny"])
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["class", "terms", "ws", "mass", "least", "residual", "nx", "ny", "bx", "by"])
 
     return run
 
@@ -198,13 +206,14 @@ def cross_split_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     idf = np.maximum(0.05, np.log((total + 1) / df))
     sent = local_broadcast(spark, (idf, float(idf.max())), 16 << 20, idf.nbytes)
 
-    schema = "class binary, terms array<bigint>, ws array<double>, mass double, least double, residual double, nx int, ny int"
+    schema = "class binary, terms array<bigint>, ws array<double>, mass double, least double, residual double, nx int, ny int, bx bigint, by bigint"
     profile = lambda side: classes.where(side).select("class", "x", "y").mapInArrow(_profiles(sent), schema)
     lists = lambda df: df.select(F.explode(F.arrays_zip("terms", "ws")).alias("p"), *[c for c in df.columns if c not in ("terms", "ws")]).select("p.terms", "p.ws", "*").drop("p").withColumnsRenamed({"terms": "term", "ws": "w"})
     q, t = lists(profile("eval")), lists(profile("not eval"))
     t = t.select("term", *[F.col(c).alias(f"t_{c}") for c in t.columns if c not in ("term", "w")])
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= EDITS
-    fits = (near("nx", "t_nx") & near("ny", "t_ny")) | (near("nx", "t_ny") & near("ny", "t_nx"))
+    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))) <= EDITS
+    near = lambda a, b: (F.abs(F.col(f"n{a}") - F.col(f"t_n{b}")) <= EDITS) & lacks(f"b{a}", f"t_b{b}") & lacks(f"t_b{b}", f"b{a}")
+    fits = (near("x", "x") & near("y", "y")) | (near("x", "y") & near("y", "x"))
     hits = q.join(t, "term").where(fits).groupBy(F.col("class").alias("ca"), F.col("t_class").alias("cb")).agg(
         F.sum(F.col("w") * F.col("w")).alias("part"), F.first("mass").alias("ma"), F.first("t_mass").alias("mb"), F.greatest(F.first("least"), F.first("t_least")).alias("least"), F.first("residual").alias("ra"), F.first("t_residual").alias("rb")
     )

@@ -165,6 +165,11 @@ def fit_index(vectors: DataFrame, dim: int, similarity: float, recall: float, se
 RECORD = np.dtype([("bucket", "<i8"), ("key", "<i8"), ("w", "<u8", (BITS // 64,))])
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers hashed to 31 bits by their product with an odd constant."""
+    return (np.ascontiguousarray(x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
 def _placed(ix: Index, keys: np.ndarray, words: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """Records of the rows in their cells; a row of a hot cell goes to each pair of pieces that holds its own piece."""
     row, col = np.nonzero(cells >= 0)
@@ -173,7 +178,7 @@ def _placed(ix: Index, keys: np.ndarray, words: np.ndarray, cells: np.ndarray) -
     for cell, g in ix.pieces:
         at = np.flatnonzero(bucket == cell << 20)
         if len(at):
-            own = (keys[row[at]] * 0x9E3779B1 >> 11) % g
+            own = mixed(keys[row[at]]) % g
             parts += [(row[at], bucket[at] | np.minimum(own, x) << 10 | np.maximum(own, x) + 1) for x in range(g)]
             bucket[at] = -1
     row, bucket = (np.concatenate(x) for x in zip(*parts))
@@ -198,7 +203,7 @@ def _emit(index, dim: int):
             link = rep != np.arange(len(keys))
             keep = np.flatnonzero(~link)
             rec = _placed(ix, keys[keep], words[keep], ix.cells(u[keep]))
-            part = ((rec["bucket"] >> 3) * 0x9E3779B1 >> 8) % ix.parts
+            part = mixed(rec["bucket"]) % ix.parts
             order = np.lexsort((rec["key"], part))  # a row's records in one partition stand together and compress
             rec, part = rec[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
