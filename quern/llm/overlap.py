@@ -13,6 +13,7 @@ Document frequencies are counted over all records in a table of 2^20 hashed cell
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -71,25 +72,23 @@ def sentence_terms(s: list[str]) -> tuple[list[int], list[int]]:
     return [crc32(w.encode()) for w in s], [crc32(f"{x} {y}".encode()) | 1 << 32 for x, y in zip(s, s[1:])]
 
 
-def record_terms(a: list[str], b: list[str]) -> np.ndarray:
-    return np.array(sorted({t for s in (a, b) for part in sentence_terms(s) for t in part}), np.int64)
+def cell(term: int) -> int:
+    return term & CELLS - 1
 
 
-def weigh(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return idf[(terms * 0x9E3779B1 >> 5) % CELLS]
+def record_terms(a: list[str], b: list[str]) -> set[int]:
+    return {t for s in (a, b) for part in sentence_terms(s) for t in part}
 
 
-def bound(a: list[str], b: list[str], mass: float, idf: np.ndarray, heaviest: float) -> float:
-    """The least cosine to a record whose sentences each differ in at most EDITS words."""
+def bound(a: list[str], b: list[str], mass: float, square: dict[int, float], heaviest: float) -> float:
+    """The least cosine to a record whose sentences each differ in at most EDITS words; square: a term's weight, squared."""
     lost = 0.0
     for s in (a, b):
         one, two = sentence_terms(s)
-        w1 = weigh(np.array(one, np.int64), idf) ** 2
-        w2 = weigh(np.array(two, np.int64), idf) ** 2 if two else np.zeros(0)
-        cost = w1 + np.concatenate([[0.0], w2]) + np.concatenate([w2, [0.0]])
-        lost += np.sort(cost)[-EDITS:].sum()
-    kept = mass - lost
-    return max(0.0, kept) / np.sqrt(mass * (max(0.0, kept) + 2 * EDITS * 3 * heaviest**2)) if mass > 0 else 0.0
+        pairs = [0.0, *(square[t] for t in two), 0.0]
+        lost += sum(sorted(square[t] + x + y for t, x, y in zip(one, pairs, pairs[1:]))[-EDITS:])
+    kept = max(0.0, mass - lost)
+    return kept / math.sqrt(mass * (kept + 2 * EDITS * 3 * heaviest**2)) if mass > 0 else 0.0
 
 
 def _normalise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +106,8 @@ def _normalise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, np.int64)
     for b in it:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            np.add.at(total, (record_terms(x.split(), y.split()) * 0x9E3779B1 >> 5) % CELLS, 1)
+        at = [cell(t) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in record_terms(x.split(), y.split())]
+        total += np.bincount(np.array(at, np.int64), minlength=CELLS)
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
 
@@ -130,20 +129,19 @@ def _profiles(sent):
             out: list[list] = [[] for _ in range(9)]
             for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 a, z = x.split(), y.split()
-                terms = record_terms(a, z)
-                w = weigh(terms, idf)
-                mass = float(w @ w)
-                least = bound(a, z, mass, idf, heaviest)
-                order = np.lexsort((terms, -w))
-                terms, w = terms[order], w[order]
-                rest = mass - np.cumsum(w * w)
-                if least > 0:
-                    n = int(np.searchsorted(-rest, -(least * least * mass * (1 - 1e-9)), side="right")) + 1
-                    terms, w, rest = terms[:n], w[:n], rest[:n]
-                ids, ws = terms.tolist(), w.tolist()
+                square = {t: idf.item(cell(t)) ** 2 for t in record_terms(a, z)}
+                mass = math.fsum(square.values())
+                least = bound(a, z, mass, square, heaviest)
+                ids, left, enough = [], mass, least * least * mass * (1 - 1e-9)
+                for t in sorted(square, key=lambda t: (-square[t], t)):  # what stays out has a norm below the threshold
+                    ids.append(t)
+                    left -= square[t]
+                    if least > 0 and left < enough:
+                        break
+                ws = [math.sqrt(square[t]) for t in ids]
                 if len(a) <= EDITS and len(z) <= EDITS:
                     ids.append(SHORT), ws.append(0.0)
-                for column, value in zip(out, (ids, ws, mass, least, float(np.sqrt(max(0.0, rest[-1]))), len(a), len(z), signature(a), signature(z))):
+                for column, value in zip(out, (ids, ws, mass, least, math.sqrt(max(0.0, left)), len(a), len(z), signature(a), signature(z))):
                     column.append(value)
             kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["class", "terms", "ws", "mass", "least", "residual", "nx", "ny", "bx", "by"])
@@ -158,15 +156,14 @@ def _compare(sent):
         @lru_cache(MEMORY)  # a record meets many candidates
         def vector(x: str, y: str) -> tuple[dict[int, float], float, list[str], list[str]]:
             a, z = x.split(), y.split()
-            t = record_terms(a, z)
-            w = weigh(t, idf) ** 2
-            return dict(zip(t.tolist(), w.tolist())), float(w.sum()), a, z
+            square = {t: idf.item(cell(t)) ** 2 for t in record_terms(a, z)}
+            return square, math.fsum(square.values()), a, z
 
         for b in it:
             ok = []
             for ax, ay, bx, by, least in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
                 (ta, ma, ax, ay), (tb, mb, bx, by) = vector(ax, ay), vector(bx, by)
-                same = least <= 0 or sum([ta[t] for t in ta.keys() & tb.keys()]) >= (least - 1e-9) * np.sqrt(ma * mb)
+                same = least <= 0 or sum([ta[t] for t in ta.keys() & tb.keys()]) >= (least - 1e-9) * math.sqrt(ma * mb)
                 if same:
                     same = distance(ax, bx) <= EDITS and distance(ay, by) <= EDITS or distance(ax, by) <= EDITS and distance(ay, bx) <= EDITS
                 ok.append(bool(same))

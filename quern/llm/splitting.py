@@ -1,6 +1,6 @@
 """Cuts long texts into overlapping pieces at natural boundaries, range by range, without any worker holding a whole text.
 
-A text (a table's column or a UTF-8 file) is read as ranges with halos. Each range finds its boundaries alone: the first natural
+A text (a table's column or a UTF-8 file) is cut into byte ranges with halos. Each range finds its boundaries alone: the first natural
 boundary after a range's start is a forced cut that the range before finds too, in its right halo, so ranges agree without talking.
 Small boundary tables (length, leading and trailing unbroken run) are stitched by window functions: prefix sums turn offsets inside
 a range into offsets of the text, and runs that cross ranges are added up.
@@ -8,7 +8,6 @@ a range into offsets of the text, and runs that cross ranges are added up.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -16,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.vector import let
+from quern.session import durable
+
 BREAKERS = ".!?。！？"
 _RUN = re.compile(rf"[^\s{BREAKERS}]+")
 _SENTENCE = re.compile(r"(?:[.!?](?=\s)|[。！？]|\n)[\s\"'»”)]*")
 _SPACE = re.compile(r"\s+")
 
-RANGE_SCHEMA = "doc {kind}, r int, left string, body string, right string"
+#: Bytes of a range, of its left halo (the overlap) and right halo (the search for a boundary) a code point of the limit.
+SIZE, HALO = 32_768, 5
 TABLE_SCHEMA = "doc {kind}, r int, n bigint, lead bigint, trail bigint, whole boolean, inner array<struct<start:bigint,len:bigint>>"
 PIECE_SCHEMA = "doc {kind}, r int, rel bigint, piece string"
 
@@ -31,46 +34,52 @@ def _kind(df: DataFrame, column: str) -> str:
 
 
 def text_ranges(df: DataFrame, key: str, text: str, size: int, halo: int) -> DataFrame:
-    """Ranges of `size` code points with halos, of the non-null texts of df; key must be unique."""
+    """(doc, r, raw, lo, hi): byte ranges of `size` with halos of the non-null texts of df, cut by the JVM; raw[lo:hi] is the range, up
+    to whole characters. key must be unique."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            keys, texts = b.column(0), b.column(1)
-            for i in range(b.num_rows):
-                t = texts[i].as_py()
-                rows = [(r, t[max(0, s - halo) : s], t[s : s + size], t[s + size : s + size + halo]) for r, s in enumerate(range(0, len(t), size))]
-                for at in range(0, len(rows), 64):
-                    part = rows[at : at + 64]
-                    cols = list(zip(*part))
-                    yield pa.record_batch([pa.array([keys[i].as_py()] * len(part), keys.type), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["doc", "r", "left", "body", "right"])
+    def cut_up(raw):
+        first = lambda s: F.greatest(s - halo, F.lit(0))
+        piece = lambda s: F.struct((s / size).cast("int").alias("r"), F.substr(raw, first(s) + 1, s + size + halo - first(s)).alias("raw"), (s - first(s)).alias("lo"), (F.least(s + size, F.length(raw)) - first(s)).alias("hi"))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.length(raw) - 1, F.lit(0)), F.lit(size)), piece)
 
-    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
-    return rows.mapInArrow(run, RANGE_SCHEMA.format(kind=_kind(df, key)))
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    return rows.select(F.col(key).alias("doc"), F.explode(let(F.col(text).cast("binary"), cut_up)).alias("p")).select("doc", "p.*")
 
 
-def file_ranges(spark: SparkSession, paths: list[str], size: int = 8 << 20, halo: int = 4_800) -> DataFrame:
-    """Byte ranges with halos of UTF-8 files; doc is the path. A worker seeks to its range and reads nothing else of the file.
+def file_ranges(spark: SparkSession, paths: list[str], size: int = 8 << 20, halo: int = 6_000) -> DataFrame:
+    """text_ranges() of UTF-8 files; doc is the path, or the URI of a shared file system. A worker seeks to its range and reads nothing
+    else of the file."""
+    from pyarrow import fs
 
-    A range starts at the first whole character at or after its first byte. halo is in bytes."""
-    plan = [(p, r, s, os.path.getsize(p)) for p in paths for r, s in enumerate(range(0, max(1, os.path.getsize(p)), size))]
+    plan = []
+    for p in paths:
+        system, at = fs.FileSystem.from_uri(p)
+        total = system.get_file_info(at).size
+        plan += [(p, r, s, total) for r, s in enumerate(range(0, max(1, total), size))]
     ranges = spark.createDataFrame(plan, "doc string, r int, start bigint, total bigint").repartition(max(1, len(plan)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for row in b.to_pylist():
-                with open(row["doc"], "rb") as f:
-                    lo, hi = row["start"], min(row["total"], row["start"] + size)
-                    f.seek(max(0, lo - halo))
-                    raw = f.read(hi + halo + 4 - max(0, lo - halo))
-                a, z = lo - max(0, lo - halo), hi - max(0, lo - halo)
-                while a < len(raw) and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while z < len(raw) and raw[z] & 0xC0 == 0x80:
-                    z += 1
-                dec = lambda x: x.decode("utf-8", "ignore")
-                yield pa.record_batch([pa.array([row["doc"]]), pa.array([row["r"]], pa.int32()), pa.array([dec(raw[:a])]), pa.array([dec(raw[a:z])]), pa.array([dec(raw[z:])])], names=["doc", "r", "left", "body", "right"])
+                system, at = fs.FileSystem.from_uri(row["doc"])
+                lo, hi = row["start"], min(row["total"], row["start"] + size)
+                first = max(0, lo - halo)
+                with system.open_input_file(at) as f:
+                    f.seek(first)
+                    raw = f.read(hi + halo - first)
+                yield pa.record_batch([pa.array([row["doc"]]), pa.array([row["r"]], pa.int32()), pa.array([raw], pa.binary()), pa.array([lo - first], pa.int32()), pa.array([hi - first], pa.int32())], names=["doc", "r", "raw", "lo", "hi"])
+
+    return ranges.mapInArrow(run, "doc string, r int, raw binary, lo int, hi int")
+
 
-    return ranges.mapInArrow(run, RANGE_SCHEMA.format(kind="string"))
+def decoded(raw: bytes, lo: int, hi: int) -> tuple[str, str, str]:
+    """Left halo, body and right halo; a range starts at the first whole character at or after its first byte."""
+    ends = []
+    for at in (lo, hi):
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+        ends.append(at)
+    return tuple(x.decode("utf-8", "ignore") for x in (raw[: ends[0]], raw[ends[0] : ends[1]], raw[ends[1] :]))
 
 
 def boundary_table(ranges: DataFrame, limit: int) -> DataFrame:
@@ -81,7 +90,7 @@ def boundary_table(ranges: DataFrame, limit: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             n, lead, trail, whole, inner = [], [], [], [], []
-            for x in b.column(2).to_pylist():
+            for x in (decoded(*row)[1] for row in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))):
                 spans = [m.span() for m in _RUN.finditer(x)] if x else []
                 n.append(len(x))
                 lead.append(spans[0][1] if spans and spans[0][0] == 0 else 0)
@@ -90,7 +99,7 @@ def boundary_table(ranges: DataFrame, limit: int) -> DataFrame:
                 inner.append([{"start": s, "len": e - s} for s, e in spans if e - s > limit and s > 0 and e < len(x)])
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(lead, pa.int64()), pa.array(trail, pa.int64()), pa.array(whole), pa.array(inner, struct)], names=["doc", "r", "n", "lead", "trail", "whole", "inner"])
 
-    return ranges.select("doc", "r", "body").mapInArrow(run, TABLE_SCHEMA.format(kind=kind))
+    return ranges.select("doc", "r", "raw", "lo", "hi").mapInArrow(run, TABLE_SCHEMA.format(kind=kind))
 
 
 def stitch(table: DataFrame) -> DataFrame:
@@ -152,18 +161,17 @@ def range_pieces(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keys, r, left, body, right = (b.column(i) for i in range(5))
             at, no, rel, out = [], [], [], []
-            for i in range(b.num_rows):
-                lt, bd, rt = left[i].as_py(), body[i].as_py(), right[i].as_py()
+            for key, r, *row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                lt, bd, rt = decoded(*row)
                 whole = lt + bd + rt
-                start = len(lt) + (_sync(bd, limit) if r[i].as_py() else 0)
+                start = len(lt) + (_sync(bd, limit) if r else 0)
                 end = len(lt) + len(bd) + (_sync(rt, limit) if rt else 0)
-                first = _restart(whole, start, overlap) if r[i].as_py() else start
+                first = _restart(whole, start, overlap) if r else start
                 for s, e in cut(whole, start, end, first, limit, overlap):
-                    at.append(keys[i].as_py()), no.append(r[i].as_py()), rel.append(s - len(lt)), out.append(whole[s:e])
+                    at.append(key), no.append(r), rel.append(s - len(lt)), out.append(whole[s:e])
             if at:
-                yield pa.record_batch([pa.array(at, keys.type), pa.array(no, pa.int32()), pa.array(rel, pa.int64()), pa.array(out)], names=["doc", "r", "rel", "piece"])
+                yield pa.record_batch([pa.array(at, b.schema.field(0).type), pa.array(no, pa.int32()), pa.array(rel, pa.int64()), pa.array(out)], names=["doc", "r", "rel", "piece"])
 
     return ranges.mapInArrow(run, PIECE_SCHEMA.format(kind=kind))
 
@@ -173,10 +181,10 @@ def split_ranges(ranges: DataFrame, limit: int = 1_200, overlap: int = 120) -> D
 
     Pieces hold at most limit code points, end behind a sentence or a line where one ends in their second half, else behind white
     space, else at the limit, and begin about `overlap` before the end of the piece before. start_pos counts code points. A range must
-    be longer than limit and its halos at least limit (the check tool's small tables fit one range). Empty texts and texts within
-    the limit have no pieces.
+    hold at least limit characters of any length and its halos as well: 4 x limit bytes. Empty texts and texts within the limit have
+    no pieces.
     """
-    base = stitch(boundary_table(ranges, limit))
+    base = stitch(durable(boundary_table(ranges, limit)))
     total = base.groupBy("doc").agg(F.sum("n").alias("total")).where(F.col("total") > limit)
     where = base.select("doc", "r", "base").join(total, "doc")
     return range_pieces(ranges, limit, overlap).join(where, ["doc", "r"]).select("doc", F.col("piece").alias("text"), (F.col("base") + F.col("rel")).alias("start_pos"))
@@ -188,14 +196,16 @@ def one_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("m")).select("doc", F.col("m.text").alias("text"))
 
 
-def found_hard(df: DataFrame, key: str, text: str, limit: int = 1_200, size: int = 65_536) -> DataFrame:
+def found_hard(df: DataFrame, key: str, text: str, limit: int = 1_200, size: int = SIZE) -> DataFrame:
     """(doc, hard_start): the hard stretches of each text longer than limit, or -1 where it has none."""
-    ranges = text_ranges(one_text(df, key, text), "doc", "text", size, 2 * limit)
-    stitched = stitch(boundary_table(ranges, limit))
+    ranges = text_ranges(one_text(df, key, text), "doc", "text", size, 4)  # a range reads on to its last character's end
+    stitched = stitch(durable(boundary_table(ranges, limit)))
     long = stitched.groupBy("doc").agg(F.sum("n").alias("total")).where(F.col("total") > limit).select("doc")
     return long.join(hard_stretches(stitched, limit), "doc", "left").select("doc", F.coalesce("hard_start", F.lit(-1)).cast("bigint").alias("hard_start"))
 
 
-def split_texts(df: DataFrame, key: str, text: str, limit: int = 1_200, overlap: int = 120, size: int = 65_536) -> DataFrame:
-    """(doc, text, start_pos) of the pieces of every text of df that is longer than limit; repeated rows of a key count once."""
-    return split_ranges(text_ranges(one_text(df, key, text), "doc", "text", size, 2 * limit), limit, overlap)
+def split_texts(df: DataFrame, key: str, text: str, limit: int = 1_200, overlap: int = 120, size: int = SIZE) -> DataFrame:
+    """(doc, text, start_pos) of the pieces of every text of df that is longer than limit; repeated rows of a key count once. Ranges have
+    `size` bytes, at least 4 x limit."""
+    whole = durable(one_text(df, key, text))  # ranges are read twice: for boundaries and for pieces
+    return split_ranges(text_ranges(whole, "doc", "text", max(size, 4 * limit), HALO * limit), limit, overlap)

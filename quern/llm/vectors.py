@@ -26,7 +26,7 @@ from quern.session import durable, local_broadcast
 #: Rows of the bounded sample on which rotations are fitted and the index is tried out.
 SAMPLE_ROWS = 8_000
 #: Tables of the index, cells a row goes to in each, and the rows that a cell should hold.
-TABLES, PROBES, CELL_ROWS = 8, 4, 512
+TABLES, PROBES, CELL_ROWS = 8, 4, 256
 #: A cell beyond this many rows, by the sample's estimate, is compared piece by piece in different tasks.
 PIECE_ROWS = 500_000
 #: Bits of a code; its substrings are the 64-bit words.
@@ -236,7 +236,7 @@ def merge_labels(lab: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return lab
 
 
-def bucket_labels(words: np.ndarray, near: int, tile: int = 512) -> np.ndarray:
+def bucket_labels(words: np.ndarray, near: int, tile: int = 256) -> np.ndarray:
     """Groups of the codes of one cell that are joined by steps within the Hamming radius.
 
     Pigeonhole rule: of m substrings one differs in at most near // m bits where the whole code differs in at most near, so every code

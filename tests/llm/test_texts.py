@@ -92,7 +92,7 @@ def check_pieces(rows, texts, limit, overlap):
         assert pos == len(t)
 
 
-@pytest.mark.parametrize("size", [1500, 5000, 65536])
+@pytest.mark.parametrize("size", [512, 1500, 5000, 65536])
 def test_pieces_and_hard_stretches_do_not_depend_on_ranges(spark, size):
     rng = random.Random(size)
     texts = {1: text(rng, 900).replace("ta ", "ta. "), 2: "x" * 5000, 3: "a b " * 100 + "=" * 1201 + " " + text(rng, 300) + "_" * 3100, 4: "", 5: "short", 6: "字" * 1300 + "。" + "字" * 1200, 7: "\n" * 4000, 8: ("y" * 1200 + " ") * 5, 9: "é🚀 " * 2500}
@@ -118,7 +118,7 @@ def test_files_are_read_by_ranges(spark, tmp_path):
     p = tmp_path / "big.txt"
     p.write_text(t, encoding="utf-8", newline="")
     (tmp_path / "empty.txt").write_text("")
-    ranges = S.file_ranges(spark, [str(p), str(tmp_path / "empty.txt")], size=4099, halo=7200)
+    ranges = S.file_ranges(spark, [str(p), str(tmp_path / "empty.txt")], size=4_801, halo=6_000)
     check_pieces(S.split_ranges(ranges).collect(), {str(p): t}, 1200, 120)
 
 
@@ -261,3 +261,11 @@ def test_forward_backward_against_enumeration():
             for i in range(n - 1):
                 want_moves[y[i], y[i + 1]] += w / t
     assert np.allclose(p, want_p) and np.allclose(moves, want_moves)
+
+
+def test_token_marginals_are_those_of_forward_backward():
+    rng = np.random.default_rng(6)
+    b = X.Batch([list(range(n)) for n in (7, 1, 12, 3, 3)])
+    e, trans = rng.normal(size=26) * 4, rng.normal(size=(2, 2))
+    assert np.allclose(X.token_marginals(b, e, trans), X.marginals(b, e, trans)[0])
+    assert len(X.token_marginals(X.Batch([]), np.zeros(0), trans)) == 0
