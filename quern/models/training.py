@@ -189,8 +189,9 @@ class Trainer:
         rank = 1 + (s > np.diag(s)[:, None]).sum(1)
         return {"spearman": rho, "accuracy": float((rank == 1).mean()), "mrr": float((1 / rank).mean())}
 
-    def _primary(self, m: dict) -> float:
-        order = ("mrr", "spearman") if self.o.loss == "contrastive" else ("spearman", "mrr")
+    def _primary(self, m: dict, pairs: list[Pair]) -> float:
+        """What early stopping goes by: Spearman where all validation pairs are scored, else retrieval accuracy."""
+        order = ("spearman", "accuracy") if all(x.score is not None for x in pairs) else ("accuracy", "spearman")
         return next((m[k] for k in order if not math.isnan(m[k])), float("-inf"))
 
     def examples(self, pairs: list[Pair]) -> list[Pair]:
@@ -255,7 +256,7 @@ class Trainer:
         nv = min(max(round(len(pairs) * o.validation), 0), max(0, len(pairs) - 1))
         held, rest = [pairs[i] for i in order[:nv]], [pairs[i] for i in order[nv:]]
         held = held or rest
-        base = self._primary(self.metrics(held, None))
+        base = self._primary(self.metrics(held, None), held)
         examples = self.examples(rest)
         best, history = (float("-inf"), None), []
         for seed in o.seeds:
@@ -277,7 +278,7 @@ class Trainer:
                     done += 1
                 snap = run.snapshot()
                 m = self.metrics(held, snap)
-                value = self._primary(m)
+                value = self._primary(m, held)
                 history.append({"seed": seed, "epoch": epoch, "loss": float(np.mean(losses)) if losses else 0.0, **m})
                 if o.on_epoch:
                     o.on_epoch(history[-1])
@@ -291,7 +292,7 @@ class Trainer:
         adapter = best[1] or new_adapter(self.model, o.rank, o.alpha, o.targets, o.output_bias, o.seeds[0])
         if o.whiten:
             adapter = self.whiten(adapter, list(dict.fromkeys(t for x in rest for t in (x.anchor, x.positive))))
-        return Report(adapter, base, self._primary(self.metrics(held, adapter)), history)
+        return Report(adapter, base, self._primary(self.metrics(held, adapter), held), history)
 
     def whiten(self, adapter: Adapter, texts: list[str], floor: float = 1e-3) -> Adapter:
         if len(texts) < 2:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.vector import let
 
 
 def clamp_arguments(length: int, overlap: int, most: int, strict: bool = False) -> tuple[int, int]:
@@ -34,21 +35,20 @@ def chunk_tokens(df: DataFrame, key: str, tokens: Column, length: int, overlap:
     """(key, chunk_id, n_tokens, chunk): windows of tokens, blank ones left out without renumbering the others.
 
     max_chunks keeps the first of them; legacy_cap allows one more. Null texts have no tokens and give no chunk."""
-    t = df.select(key, tokens.alias("tokens"))
-    w = t.select(key, "tokens", F.posexplode(window_starts(F.size("tokens"), length, overlap)).alias("chunk_id", "at"))
-    part = F.slice("tokens", F.col("at") + 1, length)
-    out = w.select(key, "chunk_id", F.size(part).alias("n_tokens"), F.array_join(part, joiner).alias("chunk")).where(~T.is_blank(F.col("chunk")))
+    one = lambda t: lambda at: let(F.slice(t, at + 1, length), lambda p: F.struct(F.size(p).alias("n_tokens"), F.array_join(p, joiner).alias("chunk")))
+    windows = let(tokens, lambda t: F.transform(window_starts(F.size(t), length, overlap), one(t)))  # sliced before the explode: a window's row holds its own tokens only
+    out = df.select(key, F.posexplode(windows).alias("chunk_id", "w")).select(key, "chunk_id", "w.n_tokens", "w.chunk").where(~T.is_blank(F.col("chunk")))
     return out if max_chunks is None else out.where(F.col("chunk_id") < max_chunks + legacy_cap)
 
 
 def chunk_aligned(df: DataFrame, key: str, text: str, length: int, overlap: int, max_chunks: int | None = None) -> DataFrame:
     """(key, chunk_id, value, start, last_start, approx_end): verbatim slices of the text with code point offsets."""
-    t = df.select(key, T.covering_tokens(T.or_empty(F.col(text))).alias("tokens"))
-    w = t.select(key, "tokens", F.posexplode(window_starts(F.size("tokens"), length, overlap)).alias("chunk_id", "at"))
-    part = F.slice("tokens", F.col("at") + 1, length)
-    value = F.array_join(part, "")
-    start = F.length(F.array_join(F.slice("tokens", 1, F.col("at")), ""))
-    out = w.select(key, "chunk_id", value.alias("value"), start.cast("int").alias("start"), F.length(F.element_at(part, -1)).alias("tail"))
+    step = max(1, length - overlap)
+    steps = lambda t: F.transform(window_starts(F.size(t), length, overlap), lambda at: F.length(F.array_join(F.slice(t, at + 1, step), "")))
+    one = lambda t, before: lambda at, i: let(F.slice(t, at + 1, length), lambda p: F.struct(F.array_join(p, "").alias("value"), F.aggregate(F.slice(before, 1, i), F.lit(0), lambda a, x: a + x).alias("start"), F.length(F.element_at(p, -1)).alias("tail")))
+    # tokens cover the text, so a window starts where the steps before it end; each token's length is taken once
+    windows = let(T.covering_tokens(T.or_empty(F.col(text))), lambda t: let(steps(t), lambda before: F.transform(window_starts(F.size(t), length, overlap), one(t, before))))
+    out = df.select(key, F.posexplode(windows).alias("chunk_id", "w")).select(key, "chunk_id", "w.*")
     out = out.withColumn("approx_end", F.col("start") + F.length("value")).withColumn("last_start", F.col("approx_end") - F.col("tail")).drop("tail").where(~T.is_blank(F.col("value")))
     return (out if max_chunks is None else out.where(F.col("chunk_id") < max_chunks)).select(key, "chunk_id", "value", "start", "last_start", "approx_end")
 

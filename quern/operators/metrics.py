@@ -91,10 +91,9 @@ def parity(df: DataFrame, score: str, threshold: float, by: list[str] | None = N
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def upper_median(c: Column) -> Column:
-    """The element n/2 of the sorted values, exactly; sorts one group's values in one task, so groups must be bounded samples."""
-    s = F.array_sort(F.collect_list(c))
-    return F.element_at(s, (F.size(s) / 2).cast("int") + 1)
+def upper_median(column: str) -> Column:
+    """The element n/2 of the sorted values, exactly, from counts of the distinct values that are combined map-side."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def relative_l2(a: Column, b: Column) -> Column:

@@ -13,14 +13,18 @@ def scored(df: DataFrame, score: str = "score") -> DataFrame:
 
 
 def at_least(df: DataFrame, least: float | None, score: str = "score") -> DataFrame:
-    """Keeps unscored rows."""
-    return df if least is None else df.where(F.col(score).isNull() | (F.col(score) >= least))
+    """Keeps unscored rows; a NaN score reaches no threshold, though Spark orders it above all numbers."""
+    return df if least is None else df.where(F.col(score).isNull() | _reaches(score, least))
+
+
+def _reaches(score: str, least: float) -> Column:
+    return (F.col(score) >= least) & ~F.isnan(F.col(score).cast("double"))
 
 
 def training_examples(df: DataFrame, threshold: float, contrastive: bool, query_prefix: str = "", document_prefix: str = "") -> DataFrame:
     """Contrastive: scored pairs below the threshold are dropped, unscored ones stay; otherwise a score is required. Missing scores
     count 1, prefixes go before anchor and positive."""
-    kept = df.where(F.col("score").isNull() | (F.col("score") >= threshold)) if contrastive else scored(df)
+    kept = df.where(F.col("score").isNull() | _reaches("score", threshold)) if contrastive else scored(df)
     return kept.withColumns({"anchor": F.concat(F.lit(query_prefix), F.coalesce("anchor", F.lit(""))), "positive": F.concat(F.lit(document_prefix), F.coalesce("positive", F.lit(""))), "score": F.coalesce("score", F.lit(1.0))})
 
 

@@ -44,11 +44,11 @@ def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.nd
             yield keys.to_numpy(zero_copy_only=False), v
 
 
-def scores(queries: DataFrame, docs: DataFrame, k: int | None = None, normalise: bool = True, exclude_self: bool = False, at_most: float | None = None, block: int = BLOCK) -> DataFrame:
+def scores(queries: DataFrame, docs: DataFrame, k: int | None = None, normalise: bool = True, exclude_self: bool = False, at_most: float | None = None, upper: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score) of every query with every document, or with its k best; score is rounded to 6 decimals.
 
-    queries and docs are (bigint key, vector); null keys and vectors have no score. exclude_self leaves out equal keys, at_most higher
-    scores. Ties go to the smaller doc_id."""
+    queries and docs are (bigint key, vector); null keys and vectors have no score. exclude_self leaves out equal keys, upper all but
+    larger doc_ids (a query's products start at the first of them), at_most higher scores. Ties go to the smaller doc_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(docs.columns[0]).cast("bigint").alias("doc_id"), F.col(docs.columns[1]).alias("v")).where("doc_id is not null and v is not null")
     out = None
@@ -64,7 +64,7 @@ def scores(queries: DataFrame, docs: DataFrame, k: int | None = None, normalise:
                 ids = ids.to_numpy(zero_copy_only=False)
                 order = np.argsort(ids, kind="stable")
                 ids, v = ids[order], (_normal(v) if normalise else v)[order]
-                s = np.round(u @ v.T, 6)
+                s = np.round(u @ v.T, 6) if not upper else _upper(keys, u, ids, v)
                 if exclude_self:
                     s[keys[:, None] == ids[None, :]] = -np.inf
                 if at_most is not None:
@@ -86,6 +86,17 @@ def scores(queries: DataFrame, docs: DataFrame, k: int | None = None, normalise:
     return out if k is None else ranked(out).where(F.col("rank") <= k)
 
 
+def _upper(keys: np.ndarray, u: np.ndarray, ids: np.ndarray, v: np.ndarray, step: int = 256) -> np.ndarray:
+    """Scores of each key with larger ids only; ids are sorted, queries with like keys share a product over the ids above the least."""
+    s = np.full((len(keys), len(ids)), -np.inf)
+    order = np.argsort(keys, kind="stable")
+    for at in (order[i : i + step] for i in range(0, len(order), step)):
+        first = int(np.searchsorted(ids, keys[at[0]], side="right"))
+        s[at, first:] = np.round(u[at] @ v[first:].T, 6)
+    s[ids[None, :] <= keys[:, None]] = -np.inf
+    return s
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint"))

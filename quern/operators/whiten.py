@@ -31,12 +31,15 @@ def moments(df: DataFrame, vector: str, dim: int) -> tuple[int, np.ndarray, np.n
 
 
 def mean_and_covariance(df: DataFrame, vector: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Population covariance."""
-    n, s, xx = moments(df, vector, dim)
-    if not n:
+    """Population covariance. Products are taken around a row of the data, so that vectors far from the origin keep their digits."""
+    first = df.where(F.col(vector).isNotNull()).select(vector).first()
+    if first is None:
         return 0, np.zeros(dim), np.zeros((dim, dim))
+    origin = np.array(first[0], float)
+    shifted = F.transform(F.arrays_zip(F.col(vector).alias("x"), F.lit(origin.tolist()).alias("o")), lambda p: p["x"].cast("double") - p["o"])
+    n, s, xx = moments(df.where(F.col(vector).isNotNull()).select(shifted.alias(vector)), vector, dim)
     mean = s / n
-    return n, mean, xx / n - np.outer(mean, mean)
+    return n, mean + origin, xx / n - np.outer(mean, mean)
 
 
 def fit(df: DataFrame, vector: str, dim: int, floor: float = 1e-3) -> tuple[np.ndarray, np.ndarray] | None:

@@ -143,7 +143,7 @@ def _u8(c):
     return F.transform(c, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.rint(x.cast("double") * 127).cast("int") + 128)))
 
 
-@query(f"SELECT vec_id, list_transform({_U8}, lambda q: round((q - 128)::DOUBLE * 0.0027, 6)) AS v, list_transform({_U8}, lambda q: round((CASE WHEN q > 127 THEN q - 256 ELSE q END & 255) * 0.0027 - 128 * 0.0027, 6)) AS reinterpreted FROM embeddings".replace("(CASE WHEN q > 127 THEN q - 256 ELSE q END & 255) * 0.0027 - 128 * 0.0027", "(q - 128)::DOUBLE * 0.0027"))
+@query(f"SELECT vec_id, list_transform({_U8}, lambda q: round((q - 128)::DOUBLE * 0.0027, 6)) AS v, list_transform({_U8}, lambda q: round((q - 128)::DOUBLE * 0.0027, 6)) AS reinterpreted FROM embeddings")
 def dequantize_u8(spark, sf):
     q = _u8(F.col("embedding"))
     signed = F.transform(q, lambda x: F.when(x > 127, x - 256).otherwise(x))
@@ -163,7 +163,7 @@ def normalisers(spark, sf):
     return emb(spark, sf).select("vec_id", r6s(V.softmax(v)).alias("softmax"), r6s(V.layer_norm(v)).alias("layer_norm"), r6s(V.rms_norm(v)).alias("rms_norm"))
 
 
-@query("SELECT vec_id, list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: round(0.5::DOUBLE * z[1]::DOUBLE * (1 + tanh(0.7978845608028654::DOUBLE * (z[1]::DOUBLE + 0.044715::DOUBLE * z[1]::DOUBLE * z[1]::DOUBLE * z[1]::DOUBLE))) * z[2]::DOUBLE, 6)) AS v FROM embeddings")
+@query("SELECT vec_id, list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: round(0.5::DOUBLE * z[1]::DOUBLE * (1 + tanh(0.7978845608028654::DOUBLE * (z[1]::DOUBLE + 0.044715::DOUBLE * z[1]::DOUBLE * z[1]::DOUBLE * z[1]::DOUBLE))) * z[2]::DOUBLE, 6) + 0.0) AS v FROM embeddings")
 def geglu(spark, sf):
     return emb(spark, sf).select("vec_id", r6s(V.geglu(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))).alias("v"))
 
@@ -199,14 +199,15 @@ def best_answer(spark, sf):
     return S.best_answer(_queries(spark, sf), _docs(spark, sf))
 
 
-@query(f"WITH {_SC} SELECT query_id, doc_id, score FROM s WHERE doc_id % 100 = 0")
+@query(f"WITH {_SC} SELECT query_id, doc_id, score, query_id = doc_id AS diagonal FROM s")
 def cross_similarity(spark, sf):
-    return S.scores(_queries(spark, sf), _queries(spark, sf))
+    """Rows of the self-similarity matrix, the diagonal marked: the stated query set against all rows."""
+    return S.scores(_queries(spark, sf), _docs(spark, sf)).withColumn("diagonal", F.col("query_id") == F.col("doc_id"))
 
 
 @query(f"WITH {_SC} SELECT query_id, doc_id, score FROM s WHERE doc_id > query_id")
 def pairwise_upper(spark, sf):
-    return S.scores(_queries(spark, sf), _docs(spark, sf)).where("doc_id > query_id")
+    return S.scores(_queries(spark, sf), _docs(spark, sf), upper=True)
 
 
 _Q8 = f"list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::DOUBLE / ({_AM.format(_E)} / 127.0), 0))) * ({_AM.format(_E)} / 127.0))"
@@ -242,7 +243,7 @@ def rel_l2_error(spark, sf):
     return flat.agg(r6(M.relative_l2(F.col("x"), F.col("y"))).alias("error"))
 
 
-@query("SELECT pair_id, round(score, 6) AS score FROM (SELECT i.pair_id, j.pair_id AS other, 0 AS score FROM (SELECT 1 AS pair_id) i, (SELECT 1 AS pair_id) j) WHERE 1 = 0" if False else f"WITH {_PAIRS}, s AS (SELECT i.pair_id AS query_id, j.pair_id AS doc_id, round({sdot('i.anchor', 'j.positive')} / ({snorm('i.anchor')} * {snorm('j.positive')}), 6) AS score FROM pairs i, pairs j WHERE i.pair_id <> j.pair_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score <= 0.95 QUALIFY rank <= 3")
+@query(f"WITH {_PAIRS}, s AS (SELECT i.pair_id AS query_id, j.pair_id AS doc_id, round({sdot('i.anchor', 'j.positive')} / ({snorm('i.anchor')} * {snorm('j.positive')}), 6) AS score FROM pairs i, pairs j WHERE i.pair_id <> j.pair_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score <= 0.95 QUALIFY rank <= 3")
 def mine_negatives(spark, sf):
     p = pairs(spark, sf)
     return S.mine_negatives(p.select("pair_id", "anchor"), p.select("pair_id", "positive"), 3)
@@ -299,7 +300,7 @@ def eval_report(spark, sf):
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, list_sort(list(value))[count(value) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def timing_stats(spark, sf):
     t = table(spark, sf, "events").where("value is not null")
-    return t.groupBy("event_type").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), M.upper_median(F.col("value")).alias("median"))
+    return t.groupBy("event_type").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), M.upper_median("value").alias("median"))
 
 
 @query("SELECT l_returnflag, round(count(*) / sum(l_quantity)::DOUBLE, 6) AS texts_per_s, round(sum(l_extendedprice)::DOUBLE / sum(l_quantity)::DOUBLE, 6) AS tokens_per_s FROM lineitem GROUP BY l_returnflag")
@@ -334,7 +335,7 @@ def whitening(spark, sf):
     return W.apply(emb(spark, sf), "vec_id", "embedding", *fitted)
 
 
-@query("SELECT pair_id, score FROM stsb_train WHERE score IS NULL OR score >= 3")
+@query("SELECT pair_id, score FROM stsb_train WHERE score IS NULL OR (score >= 3 AND NOT isnan(score))")
 def score_filter(spark, sf):
     return P.at_least(table(spark, sf, "stsb_train").select("pair_id", "score"), 3)
 
@@ -343,7 +344,7 @@ def _named(t):
     return t.select("pair_id", F.col("sentence1").alias("anchor"), F.col("sentence2").alias("positive"), "score")
 
 
-@query("SELECT pair_id, 'q: ' || coalesce(sentence1, '') AS anchor, 'd: ' || coalesce(sentence2, '') AS positive, coalesce(score, 1) AS score FROM stsb_train WHERE score IS NULL OR score >= 3")
+@query("SELECT pair_id, 'q: ' || coalesce(sentence1, '') AS anchor, 'd: ' || coalesce(sentence2, '') AS positive, coalesce(score, 1) AS score FROM stsb_train WHERE score IS NULL OR (score >= 3 AND NOT isnan(score))")
 def positive_threshold(spark, sf):
     return P.training_examples(_named(table(spark, sf, "stsb_train")), 3, True, "q: ", "d: ")
 
@@ -377,7 +378,7 @@ def first_seen(spark, sf):
     return P.first_seen(table(spark, sf, "stsb_train"), "sentence2", "pair_id")
 
 
-@query("SELECT sentence1, dense_rank() OVER (ORDER BY sentence1 COLLATE \"binary\") - 1 AS text_index FROM (SELECT DISTINCT sentence1 FROM stsb_train WHERE sentence1 IS NOT NULL)".replace(' COLLATE "binary"', ""))
+@query("SELECT sentence1, dense_rank() OVER (ORDER BY sentence1) - 1 AS text_index FROM (SELECT DISTINCT sentence1 FROM stsb_train WHERE sentence1 IS NOT NULL)")
 def intern(spark, sf):
     return P.intern(table(spark, sf, "stsb_train"), "sentence1")
 
