@@ -21,6 +21,8 @@ from quern.session import durable_round
 
 #: Partners of a cluster in the sparse graph.
 PARTNERS = 6
+#: Nodes of a group whose rounds run in one task on the sparse graph; the graph itself comes from many tasks beyond GROUP_ROWS.
+LINK_ROWS = 65_536
 #: Dissimilar pairs of a cluster up to this number are worked off inside one task.
 MISS_PAIRS = 4_000_000
 
@@ -31,31 +33,42 @@ def similarity_of(sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb: np.ndarray
 
 
 def reciprocal_rounds(sums: np.ndarray, sizes: np.ndarray, lab: np.ndarray, a: np.ndarray, b: np.ndarray, floor: float) -> None:
-    """Merges mutual best pairs of the sparse graph (a, b) until none is left; sums, sizes and lab change in place."""
-    while len(a):
-        s = similarity_of(sums[a], sizes[a], sums[b], sizes[b])
-        ok = s >= floor
-        a, b, s = a[ok], b[ok], s[ok]
+    """Merges mutual best pairs of the sparse graph (a, b) until none is left; sums, sizes and lab change in place.
+
+    Only edges whose ends changed are scored anew, so a round costs some passes over the edges, also where one large cluster draws all
+    others to it and few pairs are mutual."""
+    n = len(sizes)
+    s, rounds = similarity_of(sums[a], sizes[a], sums[b], sizes[b]), 0
+    while True:
+        ok = (s >= floor) & (a != b)
+        if not ok.all():
+            a, b, s = a[ok], b[ok], s[ok]
         if not len(a):
             return
-        end, other, sim = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-        order = np.lexsort((other, -sim, end))
-        end, other = end[order], other[order]
-        first = np.concatenate([[True], end[1:] != end[:-1]])
-        mate = np.full(len(sizes), -1)
-        mate[end[first]] = other[first]
-        x = end[first]
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, a, s)
+        np.maximum.at(top, b, s)
+        mate = np.full(n, n)
+        for end, other in ((a, b), (b, a)):
+            at = s == top[end]
+            np.minimum.at(mate, end[at], other[at])
+        x = np.flatnonzero(mate < n)
         x = x[(mate[mate[x]] == x) & (x < mate[x])]
         y = mate[x]
         sums[x] += sums[y]
         sizes[x] += sizes[y]
-        to = np.arange(len(sizes))
+        to = np.arange(n)
         to[y] = x
         lab[:] = to[lab]
+        met = np.zeros(n, bool)
+        met[x] = True
         a, b = to[a], to[b]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        code = np.unique((a * len(sizes) + b)[a != b])
-        a, b = np.divmod(code, len(sizes))
+        rounds += 1
+        if rounds % 16 == 0:  # edges that have become the same one
+            _, at = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+            a, b, s = a[at], b[at], s[at]
+        new = np.flatnonzero((met[a] | met[b]) & (a != b))
+        s[new] = similarity_of(sums[a[new]], sizes[a[new]], sums[b[new]], sizes[b[new]])
 
 
 def link_average(sums: np.ndarray, sizes: np.ndarray, floor: float, k: int = PARTNERS) -> np.ndarray:
@@ -178,6 +191,24 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _rounds_in_task(nodes: DataFrame, edges: DataFrame, similarity: float, dim: int) -> DataFrame:
+    """The moves (node, to) of reciprocal_rounds() on the edges (a, b) of each group, one group a task."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("node").combine_chunks()
+        node = left.column("node").to_numpy()
+        lab = np.arange(len(node))
+        if right.num_rows:
+            at = [np.searchsorted(node, right.column(x).to_numpy()) for x in ("a", "b")]
+            sums = _matrix(left.column("total").combine_chunks(), dim).copy()
+            reciprocal_rounds(sums, left.column("n").to_numpy().astype(np.float64), lab, *at, similarity)
+        moved = np.flatnonzero(lab != np.arange(len(node)))
+        return pa.table({"node": pa.array(node[moved], pa.int64()), "to": pa.array(node[lab[moved]], pa.int64())})
+
+    placed = durable_round(edges.select("a", "b").join(nodes.select(F.col("node").alias("a"), F.col("comp").alias("group")), "a").select("group", "a", "b"))
+    return durable_round(nodes.select("comp", "node", "total", "n").groupBy("comp").cogroup(placed.groupBy("group")).applyInArrow(run, "node bigint, to bigint"))
+
+
 def _edge_scores(dim: int):
     """(a, b, sa, na, sb, nb) -> (a, b, s): average similarities of the edges' ends."""
 
@@ -309,7 +340,8 @@ def _rounds(nodes: DataFrame, edges: DataFrame, similarity: float, dim: int) ->
 
 def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
     """Groups beyond one task, by the steps of link_rows() on tables: copies are one node, the sparse graph comes from chunk pairs in
-    different tasks, rounds of mutual best pairs run on its edges, and the graph is made anew until no pair reaches the threshold. A
+    different tasks, rounds of mutual best pairs run on its edges (in one task up to LINK_ROWS nodes, beyond that on tables), and the
+    graph is made anew until no pair reaches the threshold. A
     group whose nodes have become few enough is finished in one task, which takes the same steps. Members that miss others leave
     their cluster as in smaller groups, the worst first."""
     rows = durable_round(large.select("comp", "key", "vector"))
@@ -333,8 +365,16 @@ def _link_large(large: DataFrame, dim: int, similarity: float) -> DataFrame:
             to = durable_round(connected_components(same).where("node <> comp").select("node", F.col("comp").alias("to")))
             moves.append(to)
             nodes, edges = _merge(nodes, to, dim), durable_round(_rewire(edges, to))
-        nodes, to = _rounds(nodes, edges, similarity, dim)
+        size = nodes.groupBy("comp").agg(F.count("*").alias("rows"))
+        fit = durable_round(nodes.join(size.where(F.col("rows") <= LINK_ROWS), "comp").drop("rows"))
+        wide = durable_round(nodes.join(size.where(F.col("rows") > LINK_ROWS), "comp").drop("rows"))
+        to = _rounds_in_task(fit, edges, similarity, dim)
         moves.append(to)
+        nodes = _merge(fit, to, dim)
+        if not wide.isEmpty():
+            wide, to = _rounds(wide, durable_round(edges.join(wide.select(F.col("node").alias("a")), "a", "left_semi")), similarity, dim)
+            moves.append(to)
+            nodes = nodes.unionByName(wide.select(*nodes.columns))
         still = nodes.groupBy("comp").agg(F.count("*").alias("after")).join(before, "comp").where("after = before").select("comp")
         nodes = durable_round(nodes.join(still, "comp", "left_anti"))  # nothing merges there: a similarity on the last digit of the threshold
     # nodes move to smaller ones only, so a cluster's name is the smallest node of its chain of moves

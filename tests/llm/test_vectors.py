@@ -209,8 +209,8 @@ def test_large_groups_are_linked_to_the_end(spark, monkeypatch):
     assert got == {(5 * g + i + 1, 5 * g + 1, 5) for g in range(12) for i in range(5)}
 
 
-@pytest.mark.parametrize("group", [50, 120])
-def test_overlapping_groups_are_linked_alike_at_every_size(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "link"), [(50, 30), (50, 65_536), (8_192, 65_536)])
+def test_overlapping_groups_are_linked_alike_at_every_size(spark, monkeypatch, group, link):
     """One linked group whose clusters are not closed: rows along an arc, with copies."""
     rng = np.random.default_rng(21)
     at = np.sort(rng.uniform(0, 6, 220))
@@ -231,6 +231,7 @@ def test_overlapping_groups_are_linked_alike_at_every_size(spark, monkeypatch, g
         want |= {int(i) + 1: (int(m[0]) + 1, len(m)) for i in m}
     assert len({w for w, _ in want.values()}) > 4
     monkeypatch.setattr(V, "GROUP_ROWS", group)
+    monkeypatch.setattr(C, "LINK_ROWS", link)
     got = {r["key"]: (r["cluster"], r["size"]) for r in C._link_large(df, 128, 0.75).collect()}
     assert got == want
 
