@@ -319,3 +319,17 @@ def file_tokenizer(path: str, most: int = 32_768):
             yield pd.DataFrame({"ids": [r.ids[:most] for r in rows], "starts": [[s for s, _ in r.offsets[:most]] for r in rows], "ends": [[e for _, e in r.offsets[:most]] for r in rows]})
 
     return run
+
+
+def file_untokenizer(path: str):
+    """Column builder: ids back to text with the decoder of a tokenizer.json, marks left out; null ids give an empty text."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        for ids in batches:
+            yield pd.Series(t.decode_batch([[int(i) for i in x] if x is not None else [] for x in ids], skip_special_tokens=True))
+
+    return run
