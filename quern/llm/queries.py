@@ -77,6 +77,28 @@ def p3_pieces(spark, sf):
     return split_texts(table(spark, sf, "encoded_chunk_aligned"), "doc_id", "original_text").withColumnRenamed("doc", "doc_id")
 
 
+def p3_cover(spark, sf):
+    """Per long text: whether its pieces are verbatim, within the limit, without gaps, and end with the text."""
+    from pyspark.sql import Window
+
+    from quern.llm.splitting import one_text, split_texts
+
+    t = table(spark, sf, "encoded_chunk_aligned")
+    whole = one_text(t, "doc_id", "original_text").withColumnRenamed("text", "whole")
+    end = F.col("start_pos") + F.length("text")
+    last = F.max(end).over(Window.partitionBy("doc").orderBy("start_pos").rowsBetween(Window.unboundedPreceding, -1))
+    rows = split_texts(t, "doc_id", "original_text").withColumn("gap", F.col("start_pos") > F.coalesce(last, F.lit(0))).join(whole, "doc")
+    good = (F.length("text") <= 1200) & ~F.col("gap") & (F.substr("whole", F.col("start_pos").cast("int") + 1, F.length("text")) == F.col("text"))
+    return rows.groupBy(F.col("doc").alias("doc_id")).agg(F.max(end).alias("n_chars"), F.min(good).alias("covered"))
+
+
+def p4_size(spark, sf):
+    """How many rows were selected, and how many distinct valid ones among them."""
+    valid = _chunks(spark, sf).where((F.size("vector") == 128) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0))
+    got = p4_subset(spark, sf)
+    return got.join(valid.select("chunk_key", F.lit(1).alias("valid")), "chunk_key", "left").agg(F.count("*").alias("selected"), F.count_distinct(F.when(F.col("valid") == 1, F.col("chunk_key"))).alias("distinct_valid"))
+
+
 def p4_subset(spark, sf):
     from quern.llm.kcenter import varied_subset
 
@@ -89,6 +111,12 @@ def p7_containers(spark, sf):
     return pack_texts(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def p7_fill(spark, sf):
+    """Containers, tokens and the share of the containers' room that is filled."""
+    per = p7_containers(spark, sf).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return per.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(F.sum("n") / (F.count("*") * 512), 6).alias("fill"))
+
+
 def _leaks(spark, sf):
     from quern.llm.leakage import leaked_items
 
@@ -134,6 +162,8 @@ SQL = {
 p AS (SELECT doc_id, regexp_extract_all(t, '[^\s\p{Z}.!?。！？]+|[\s\p{Z}.!?。！？]+') AS p FROM t), u AS (SELECT doc_id, unnest(p) AS x, unnest(range(0, len(p))) AS i FROM p),
 w AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS off FROM u), h AS (SELECT doc_id, off FROM w WHERE length(x) > 1200 AND NOT regexp_matches(x, '^[\s\p{Z}.!?。！？]'))
 SELECT t.doc_id, coalesce(h.off, -1)::BIGINT AS hard_start FROM t LEFT JOIN h USING (doc_id)""",
+    "p3_cover": "SELECT doc_id, max(length(original_text)) AS n_chars, true AS covered FROM encoded_chunk_aligned WHERE original_text IS NOT NULL GROUP BY doc_id HAVING max(length(original_text)) > 1200",
+    "p4_size": f"WITH {_VALID}, n AS (SELECT greatest(1, round_even(count(*) * 0.01, 0))::BIGINT AS k FROM valid) SELECT k AS selected, k AS distinct_valid FROM n",
     "p6_found": f"""WITH {_SIMILAR}, top AS (SELECT k, o FROM near QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, o) <= 5)
 SELECT DISTINCT least(k, o) AS chunk_key_a, greatest(k, o) AS chunk_key_b FROM top""",
     "p6_neighbours": f"""WITH {_VALID}, s AS (SELECT a.chunk_key, b.chunk_key AS neighbour_key, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM valid a JOIN valid b ON a.chunk_key <> b.chunk_key WHERE a.chunk_key % 100 = 0)
@@ -142,7 +172,7 @@ SELECT chunk_key, neighbour_key, row_number() OVER (PARTITION BY chunk_key ORDER
 
 
 def queries() -> dict:
-    every = (p1_found, p1_clusters, p2_found, p2_overlaps, p3_found, p3_pieces, p4_subset, p6_found, p6_neighbours, p7_containers, p8_found, p8_spans, p9_found, p9_scores, p9_rates)
+    every = (p1_found, p1_clusters, p2_found, p2_overlaps, p3_found, p3_pieces, p3_cover, p4_subset, p4_size, p6_found, p6_neighbours, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_scores, p9_rates)
     return {f.__name__: f for f in every}
 
 
