@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from quern.models.autograd import Graph, Tensor, rope_table
+from quern.models.autograd import Graph, Tensor, erf, rope_table
 from quern.models.lora import Adapter, Runtime
 from quern.models.quantised import MATRICES, attention
 
@@ -96,6 +96,39 @@ class Bert(_Model):
         z = g.mean_rows(x) if c.pooling == "mean" else g.row(x, 0)
         return g.add_row(z, run.bias) if run and run.bias is not None else z
 
+    def inference(self, ids: list[int], precision: str = "fp32") -> np.ndarray:
+        """embed() without a tape or adapter: single precision, all heads at once, weights in the given precision; zero without ids."""
+        if not len(ids):
+            return np.zeros(self.dim)
+        c, ids = self.config, list(ids)[: self.config.positions]
+        if not hasattr(self, "_single"):
+            self._single, self._cast = {n: np.asarray(w, np.float32) for n, w in self.weights.items()}, {}
+        f, make = self._single, MATRICES[precision]
+
+        def lin(i: int, n: str, x: np.ndarray) -> np.ndarray:
+            at = precision, i, n
+            if at not in self._cast:
+                self._cast[at] = make(f[f"{i}.{n}"])
+            return (self._cast[at].product(x) + f[f"{i}.{n}.bias"]).astype(np.float32)
+
+        def norm(x: np.ndarray, name: str) -> np.ndarray:
+            x = x - x.mean(1, keepdims=True)
+            return x / np.sqrt((x * x).mean(1, keepdims=True) + np.float32(1e-12)) * f[f"{name}.gain"] + f[f"{name}.shift"]
+
+        x = norm(f["words"][ids] + f["places"][: len(ids)] + f["types"][0], "start")
+        size = c.hidden // c.heads
+        for i in range(c.layers):
+            q, k, v = (lin(i, n, x).reshape(len(ids), c.heads, size).transpose(1, 0, 2) for n in "qkv")
+            s = q @ k.transpose(0, 2, 1) * np.float32(size**-0.5)
+            s = np.exp(s - s.max(2, keepdims=True))
+            y = (s / s.sum(2, keepdims=True) @ v).transpose(1, 0, 2).reshape(len(ids), c.hidden)
+            x = norm(x + lin(i, "o", y), f"{i}.n1")
+            h = lin(i, "up", x)
+            h = h * np.float32(0.5) * (1 + erf(h * np.float32(0.5**0.5)))
+            x = norm(x + lin(i, "down", h), f"{i}.n2")
+        z = (x.mean(0) if c.pooling == "mean" else x[0]).astype(np.float64)
+        return z / max(np.linalg.norm(z), 1e-12)
+
 
 class Gemma(_Model):
     attention = ("q", "k", "v", "o")

@@ -85,7 +85,7 @@ def load_tokenizer(folder: str):
 
 def folder_encoder(folder: str, precision: str = "fp32", pooling: str = "mean", spark: SparkSession | None = None, batch: int = 64) -> ModelEncoder:
     """An encoder column over a model folder that all workers can read. Safetensors are mapped once a worker; archives of the exchange
-    format are read here and sent along. precision fp32, int8 or int4 is for causal models, whose inference runs without a tape."""
+    format are read here and sent along. precision is fp32, int8 or int4; inference runs without a tape."""
     sent = None if os.path.exists(os.path.join(folder, "model.safetensors")) else load_model(folder, spark, pooling)
     with open(os.path.join(folder, "config.json"), encoding="utf-8") as f:
         dim = json.load(f)["hidden_size"]
@@ -93,9 +93,7 @@ def folder_encoder(folder: str, precision: str = "fp32", pooling: str = "mean",
     def load():
         model, ids = sent or load_model(folder, None, pooling), load_tokenizer(folder)
         most = model.config.positions
-        if isinstance(model, Gemma):
-            return lambda texts: np.stack([model.inference(x, precision) if (x := ids(t)[:most]) else np.zeros(dim) for t in texts])
-        return lambda texts: np.stack([model.embed(ids(t)[:most]) for t in texts])
+        return lambda texts: np.stack([model.inference(x, precision) if (x := ids(t)[:most]) else np.zeros(dim) for t in texts])
 
     return ModelEncoder(load, dim, batch)
 

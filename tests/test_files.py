@@ -68,6 +68,16 @@ def test_an_archive_whose_factors_have_no_names(spark, tmp_path):
         A.read_archive(data[:-3])
 
 
+@pytest.mark.parametrize("pooling", ["mean", "first"])
+def test_inference_of_the_bidirectional_model(pooling):
+    model = Bert.random(BertConfig(30, 64, 2, 4, 96, 20, pooling), 3, 0.2)
+    for ids in ([2, 9, 7, 4, 3], [5], list(range(25))):
+        want = model.embed(ids)
+        assert np.allclose(model.inference(ids), want, atol=2e-5)
+        assert model.inference(ids, "int8") @ want > 0.99 and model.inference(ids, "int4") @ want > 0.9
+    assert not model.inference([]).any()
+
+
 def test_a_causal_folder_in_three_precisions(tmp_path):
     c = GemmaConfig(len(WORDS), 32, 2, 2, 1, 16, 64, 40)
     model = Gemma.random(c, 5, 0.3)
