@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +85,53 @@ def test_bpe_truncation_and_added_tokens():
     assert [(s, e) for _, s, e in K.bpe_spans("a<s>b", b)] == [(0, 1), (1, 4), (4, 5)]
 
 
+def _aligned(text, bpe):
+    return [{"token": bpe.tokens[i], "original": text[s:e], "start": s, "approx_end": e} for i, s, e in K.bpe_spans(text, bpe) if e > s]
+
+
+def test_bpe_aligned_sends_a_batch_back_in_bounded_pieces(spark):
+    texts = ["the hand 日 and 42 " * 50] * 1500 + [None, "", "the end"]
+    tracemalloc.start()
+    pieces, peak = [], 0
+    for p in K.bpe_aligned(BPE).func(iter([pa.array(texts)])):
+        pieces.append((len(p), len(p.flatten()), p[-1].as_py()))
+        peak = max(peak, tracemalloc.get_traced_memory()[1] + p.nbytes)
+    tracemalloc.stop()
+    one = len(_aligned(texts[0], BPE))
+    assert sum(n for n, _, _ in pieces) == len(texts) and sum(t for _, t, _ in pieces) == 1500 * one + len(_aligned("the end", BPE))
+    assert len(pieces) > 4 and all(t <= (K.PIECE // len(texts[0]) + 1) * one + 9 for _, t, _ in pieces) and peak < 40e6
+    assert pieces[0][2] == _aligned(texts[0], BPE) and pieces[-1][2] == _aligned("the end", BPE)
+
+
+@pytest.mark.parametrize(
+    "bpe",
+    [
+        BPE,
+        make_bpe({"a": 0, "b": 1, "▁": 2, "a▁": 3, "a▁b": 4, "ab": 5}, ["a ▁", "a▁ b", "a b"]),  # a merge joins a blank to what is before it
+        make_bpe({"a": 0, "b": 1, "▁": 2, "▁▁": 3, "▁▁a": 4, "<0xC3>": 5}, ["▁ ▁", "▁▁ a"]),  # bytes of most characters are missing
+        make_bpe({"a": 0, "b": 1, "aa": 2, "ab": 3}, ["a b", "a a"], {"<s>": 9, "b<": 10}),
+        make_bpe({"a": 0}, []),
+    ],
+)
+def test_bpe_aligned_takes_the_spans_of_the_whole_text(spark, bpe):
+    texts = [*STRINGS, "aab  ab a b", "   aé▁ aab", "aaa<s>ab<s", "a" * 99 + " b" * 40, "日本<s>aa\n ab"]
+    got = K.bpe_aligned(bpe).func(iter([pa.array(texts[:3]), pa.array(texts[3:])]))
+    assert [r for p in got for r in p.to_pylist()] == [_aligned(t, bpe) for t in texts]
+
+
+def test_bpe_round_trip_of_more_than_a_piece(spark, monkeypatch):
+    from quern.plans import token_queries as Q
+
+    texts = {i: t for i, t in enumerate([*STRINGS, None, "x🚀é\r\n the " * 30_000, *["die Hand, the end. " * 40] * 500])}
+    monkeypatch.setattr(Q, "docs", lambda s, sf: s.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1))
+    assert {r["doc_id"]: r["text"] for r in Q.bpe_round_trip(spark, None).collect()} == {i: t or "" for i, t in texts.items()}
+    monkeypatch.setattr(Q, "docs", lambda s, sf: s.createDataFrame([], "doc_id bigint, text string"))
+    assert Q.bpe_round_trip(spark, None).collect() == []
+    odd = [("a", 0, 1), ("a", 0, 1), ("b", 1, 2), (None, 2, 3), ("c", 3, 4), None, ("d", 4, 5)]
+    df = spark.createDataFrame([(odd,), ([],), (None,)], "t array<struct<original:string,start:int,approx_end:int>>")
+    assert [r[0] for r in df.select(K.joined(F.col("t"))).collect()] == ["abcd", "", None]
+
+
 def test_segments_and_cut(spark):
     df = spark.createDataFrame([(["[CLS]", "a", "[SEP]", "b", "[SEP]"],)], "t array<string>")
     assert df.select(K.segment_ids(F.col("t"))).first()[0] == [0, 0, 0, 1, 1]
